@@ -52,7 +52,7 @@ def salted_aggregate(
     heavy = heavy.select(*[F.col(k).alias(renamed[k]) for k in keys], F.lit(True).alias("__heavy"))
     spread = F.pmod(F.xxhash64(F.lit(7), *[F.col(f"l.{c}") for c in by]), F.lit(salts))
     if not distinct:  # repeated rows are spread too: their partition is part of the draw and partials only add up
-        spread = F.pmod(F.xxhash64(F.lit(7), *[F.col(f"l.{c}") for c in by]) + F.spark_partition_id(), F.lit(salts))
+        spread = F.pmod(F.xxhash64(F.lit(7), F.spark_partition_id(), *[F.col(f"l.{c}") for c in by]), F.lit(salts))
     salted = rows.alias("l").join(F.broadcast(heavy.alias("h")), _null_safe(keys, renamed), "left").select(
         *[F.col(f"l.{c}") for c in rows.columns],
         F.when(F.col("__heavy"), spread).otherwise(F.lit(0)).alias("__salt"),
