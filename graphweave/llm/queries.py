@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from graphweave.functions.terms import term
 from graphweave.llm.cooccur import cooccurrences
+from graphweave.llm.mixing import mix
+from graphweave.llm.packing import pack, pack_report
 from graphweave.llm.setjoin import record_pairs, similar_records
+from graphweave.llm.spans import SharedSpans
 from graphweave.llm.termfreq import mark_terms, term_frequencies
+from graphweave.llm.tokens import token_sizes
+from graphweave.session import cut
 
 #: p1_found: least graphs with both items, and least lift.
 MIN_TOGETHER, MIN_LIFT = 5, 3
@@ -16,6 +21,8 @@ MIN_TOGETHER, MIN_LIFT = 5, 3
 MIN_TERMS, SIMILARITY = 6, 0.6
 #: p4_found: most records of a rare term, least share of a common one.
 RARE, COMMON = 2, 0.2
+#: p9_found: least characters of a span.
+SPAN = 250
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -80,10 +87,50 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_frequencies(spark, d).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")
+    return cut(token_sizes(docs, "text", ["doc_id", "source"]))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_sizes(spark, d), spark.read.parquet(f"{d}/pack_jobs.parquet"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    jobs = spark.read.parquet(f"{d}/pack_jobs.parquet")
+    return pack_report(pack(_sizes(spark, d), jobs), jobs)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sizes(spark, d), spark.read.parquet(f"{d}/mix_targets.parquet"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sizes(spark, d), spark.read.parquet(f"{d}/mix_targets.parquet"))[1]
+
+
+def _shared(spark: SparkSession, d: str) -> SharedSpans:
+    return SharedSpans(spark.read.parquet(f"{d}/documents.parquet"), min_len=SPAN)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _shared(spark, d).pairs()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _shared(spark, d).shares().withColumnRenamed("doc", "doc_id")
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _shared(spark, d).passages()
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_cooccurrence": p1_cooccurrence,
     "p3_found": p3_found, "p3_members": p3_members, "p3_links": p3_links,
     "p4_found": p4_found, "p4_frequencies": p4_frequencies,
+    "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report,
+    "p9_found": p9_found, "p9_shares": p9_shares, "p9_passages": p9_passages,
 }
 
 _TERM = "nullif(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), '')"
