@@ -11,6 +11,7 @@ from graphweave.llm.mixing import mix
 from graphweave.llm.packing import pack, pack_report
 from graphweave.llm.setjoin import record_pairs, similar_records
 from graphweave.llm.spans import SharedSpans
+from graphweave.llm.subset import choose_varied
 from graphweave.llm.termfreq import mark_terms, term_frequencies
 from graphweave.llm.tokens import token_sizes
 from graphweave.session import cut
@@ -87,6 +88,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_frequencies(spark, d).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/sgs.parquet").select("run_name", F.col("g.graph.name").alias("pattern_id"), F.col("g.nodes.label").alias("labels"))
+    terms = F.array_sort(F.array_distinct(F.array_compact(F.transform("labels", lambda x: term(x)))))
+    return rows.select("run_name", "pattern_id", F.transform(terms, lambda x: F.xxhash64(x)).alias("members"))
+
+
+def p5_subset(spark: SparkSession, d: str) -> DataFrame:
+    return choose_varied(_patterns(spark, d), spark.read.parquet(f"{d}/subset_jobs.parquet"), record="pattern_id", group="run_name", members="members").withColumnRenamed("record", "pattern_id")
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")
     return cut(token_sizes(docs, "text", ["doc_id", "source"]))
@@ -129,6 +140,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_cooccurrence": p1_cooccurrence,
     "p3_found": p3_found, "p3_members": p3_members, "p3_links": p3_links,
     "p4_found": p4_found, "p4_frequencies": p4_frequencies,
+    "p5_subset": p5_subset,
     "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report,
     "p9_found": p9_found, "p9_shares": p9_shares, "p9_passages": p9_passages,
 }
