@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, records: int = 2000, size: int = 4 << 20) -> Iterator[None]:
+    """Within it, what runs sends whole texts to Python in batches that keep a task's memory low; needs steps that run at once."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(records), "spark.sql.execution.arrow.maxBytesPerBatch": f"{size}b"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions that a shuffle gets in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
