@@ -14,7 +14,6 @@ from graphweave.llm.spans import SharedSpans
 from graphweave.llm.subset import choose_varied
 from graphweave.llm.termfreq import mark_terms, term_frequencies
 from graphweave.llm.tokens import token_sizes
-from graphweave.session import cut
 
 #: p1_found: least graphs with both items, and least lift.
 MIN_TOGETHER, MIN_LIFT = 5, 3
@@ -100,7 +99,7 @@ def p5_subset(spark: SparkSession, d: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")
-    return cut(token_sizes(docs, "text", ["doc_id", "source"]))
+    return token_sizes(docs, "text", ["doc_id", "source"])
 
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.session import cut, small_batches
+
 #: Word pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Vocabulary used unless another is named.
@@ -57,7 +59,8 @@ def count(encode, text: str | None) -> int:
 
 
 def token_sizes(df: DataFrame, text: str, keep: list[str], *, vocabulary: str | None = None, name: str = "tokens") -> DataFrame:
-    """keep and the number of tokens of the text of each row; null and empty texts have 0.
+    """keep and the number of tokens of the text of each row; null and empty texts have 0. Computed at once, so that a
+    text is encoded once however often the sizes are used.
 
     vocabulary: path of a rank file, by default byte_bpe_50k.tiktoken of the installed tokenizers. A clashing column
     called as the result is replaced only if it isn't kept."""
@@ -72,4 +75,6 @@ def token_sizes(df: DataFrame, text: str, keep: list[str], *, vocabulary: str |
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes)], names=[*keep, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, `{name}` bigint")
+    sizes = df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, `{name}` bigint")
+    with small_batches(df.sparkSession):
+        return cut(sizes)
