@@ -43,9 +43,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _mined(spark: SparkSession, d: str, max_edges: int) -> tuple[Graphs, M.Patterns]:
+def _mined(spark: SparkSession, d: str, max_edges: int, minsup: int | None = None) -> tuple[Graphs, M.Patterns]:
     g = cut_graphs(pruned(spark, d))
-    return g, M.frequent_subgraphs(g, M.least_support(g, SHARE), max_edges=max_edges)
+    return g, M.frequent_subgraphs(g, minsup or M.least_support(g, SHARE), max_edges=max_edges)
 
 
 def _named(p: M.Patterns) -> DataFrame:
@@ -62,15 +62,15 @@ def fsm_1edge(spark, d):
 
 @query("""SELECT labels, e1, e2, count(DISTINCT graph_id) sup FROM (
     SELECT a.graph_id, array_to_string(list_sort([x.label, y.label, z.label]), ',') labels, least(a.k, b.k) e1, greatest(a.k, b.k) e2
-    FROM (SELECT ue.*, subj || '|' || pos || '|' || "ref" k FROM ue JOIN f1 USING (subj, pos, "ref")) a JOIN (SELECT ue.*, subj || '|' || pos || '|' || "ref" k FROM ue JOIN f1 USING (subj, pos, "ref")) b
+    FROM (SELECT ue.*, subj || '|' || pos || '|' || "ref" k FROM ue) a JOIN (SELECT ue.*, subj || '|' || pos || '|' || "ref" k FROM ue) b
         ON a.graph_id = b.graph_id AND (a.s, a.pos, a.r) < (b.s, b.pos, b.r) AND (a.s IN (b.s, b.r) OR a.r IN (b.s, b.r)) AND NOT (least(a.s, a.r) = least(b.s, b.r) AND greatest(a.s, a.r) = greatest(b.s, b.r))
     JOIN nn x ON x.graph_id = a.graph_id AND x.node_id = a.s JOIN nn y ON y.graph_id = a.graph_id AND y.node_id = a.r
     JOIN nn z ON z.graph_id = a.graph_id AND z.node_id = (CASE WHEN b.s IN (a.s, a.r) THEN b.r ELSE b.s END)
     WHERE len(list_distinct([x.label, y.label, z.label])) = 3)
-    GROUP BY ALL HAVING count(DISTINCT graph_id) >= (SELECT m FROM ms)""")
+    GROUP BY ALL HAVING count(DISTINCT graph_id) >= 2""")
 def fsm_2edge(spark, d):
     """Two-edge paths over three different labels."""
-    _, p = _mined(spark, d, 2)
+    _, p = _mined(spark, d, 2, minsup=2)
     a = p.nodes.select("pattern_id", F.col("node").alias("s"), F.col("label").alias("subj"))
     b = p.nodes.select("pattern_id", F.col("node").alias("r"), F.col("label").alias("ref"))
     kinds = p.edges.join(a, ["pattern_id", "s"]).join(b, ["pattern_id", "r"]).groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.concat_ws("|", "subj", "pos", "ref"))).alias("e"))
@@ -115,7 +115,7 @@ def coverage_1edge(spark, d):
 
 @query()
 def coverage_2edge(spark, d):
-    g, p = _mined(spark, d, 2)
+    g, p = _mined(spark, d, 2, minsup=2)
     two = p.patterns.where("n_edges = 2").select("pattern_id")
     keep = lambda df: df.join(two, "pattern_id", "left_semi")
     return C.coverage(g, keep(p.nodes), keep(p.edges)).where("cnt > 0")
