@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.model import Graphs
@@ -32,8 +32,10 @@ class Patterns:
     edges: DataFrame
 
 
-def canonical(raw: str) -> str:
-    """Least form of a labelled graph given as JSON [[i, label, pos, j, label], ...]: [labels, [[i, pos, j], ...]]."""
+def canonical(raw: str, directed: bool) -> str:
+    """Least form of a labelled graph given as JSON [[i, label, pos, j, label], ...]: [labels, [[i, pos, j], ...]].
+
+    Without direction an edge goes from the lower to the higher number."""
     edges = json.loads(raw)
     labels = {}
     for i, a, _, j, b in edges:
@@ -42,15 +44,18 @@ def canonical(raw: str) -> str:
     best = None
     for orders in itertools.product(*(itertools.permutations(g) for g in groups)):
         at = {n: k for k, n in enumerate(itertools.chain(*orders))}
-        form = sorted([at[i], p, at[j]] for i, _, p, j, _ in edges)
+        form = sorted([at[i], p, at[j]] if directed or at[i] < at[j] else [at[j], p, at[i]] for i, _, p, j, _ in edges)
         if best is None or form < best:
             best = form
     return json.dumps([sorted(labels.values()), best], separators=(",", ":"), ensure_ascii=False)
 
 
-def _canonise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        yield pd.DataFrame({"raw": pdf["raw"], "code": [canonical(x) for x in pdf["raw"]]})
+def _canonise(directed: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"raw": pdf["raw"], "code": [canonical(x, directed) for x in pdf["raw"]]})
+
+    return run
 
 
 def _raw(edges: Column) -> Column:
@@ -62,10 +67,10 @@ def _raw(edges: Column) -> Column:
     return F.to_json(F.transform(F.array_sort(rows), lambda x: F.array(x["i"].cast("string"), x["subj"], x["pos"], x["j"].cast("string"), x["ref"])))
 
 
-def _coded(emb: DataFrame) -> DataFrame:
+def _coded(emb: DataFrame, directed: bool) -> DataFrame:
     """Embeddings with canonical codes; Python sees only the distinct structures."""
     emb = cut(emb.withColumn("raw", _raw(F.col("edges"))))
-    kinds = cut(emb.select("raw").distinct().mapInPandas(_canonise, "raw string, code string"))
+    kinds = cut(emb.select("raw").distinct().mapInPandas(_canonise(directed), "raw string, code string"))
     return emb.join(F.broadcast(kinds) if kinds.count() <= BROADCAST_ROWS else kinds, "raw").drop("raw")
 
 
@@ -98,7 +103,7 @@ def frequent_subgraphs(g: Graphs, minsup: int, *, max_edges: int = 3, directed:
     t = t.select("graph_id", F.struct(F.xxhash64("s", "pos", "r").alias("id"), F.col("s").cast("bigint").alias("s"), F.col("r").cast("bigint").alias("r"), "subj", "pos", "ref").alias("e"))
     one = t.groupBy("e.subj", "e.pos", "e.ref").agg(F.countDistinct("graph_id").alias("n")).where(F.col("n") >= minsup).drop("n")
     edges = cut(t.select("graph_id", "e", "e.subj", "e.pos", "e.ref").join(one, ["subj", "pos", "ref"], "left_semi").select("graph_id", "e"))
-    emb, found = _frequent(_coded(edges.select("graph_id", F.array("e").alias("edges"))), minsup)
+    emb, found = _frequent(_coded(edges.select("graph_id", F.array("e").alias("edges")), directed), minsup)
     levels = [found]
     for _ in range(1, max_edges):
         touch = F.exists("edges", lambda x: (x["s"] == F.col("e.s")) | (x["s"] == F.col("e.r")) | (x["r"] == F.col("e.s")) | (x["r"] == F.col("e.r")))
@@ -107,7 +112,7 @@ def frequent_subgraphs(g: Graphs, minsup: int, *, max_edges: int = 3, directed:
         grown = grown.select("graph_id", F.array_sort(F.concat("edges", F.array("e"))).alias("edges"))
         nodes = F.size(F.array_distinct(F.flatten(F.transform("edges", lambda x: F.array(x["s"], x["r"])))))
         grown = grown.where(nodes <= max_nodes).withColumn("ids", F.transform("edges", lambda x: x["id"])).dropDuplicates(["graph_id", "ids"]).drop("ids")
-        emb, found = _frequent(_coded(grown), minsup)
+        emb, found = _frequent(_coded(grown, directed), minsup)
         if found.isEmpty():
             break
         emb = cut(emb)
