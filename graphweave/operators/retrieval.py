@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.session import BROADCAST_ROWS, cut
+
 
 def features(triples: DataFrame, nodes: DataFrame, relations: bool = True) -> DataFrame:
     """(graph_id, item): the distinct labels of each graph and, with relations, its triples."""
@@ -18,8 +20,12 @@ def features(triples: DataFrame, nodes: DataFrame, relations: bool = True) -> Da
 def shared(queries: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, graph_id, shared): number of items that a query shares with other graphs, where above 0; through an inverted index."""
     q = queries.select(F.col("graph_id").alias("query_id")).distinct()
-    own = items.join(q.withColumnRenamed("query_id", "graph_id"), "graph_id", "left_semi").select(F.col("graph_id").alias("query_id"), "item")
-    return own.join(items, "item").where(F.col("query_id") != F.col("graph_id")).groupBy("query_id", "graph_id").agg(F.count(F.lit(1)).alias("shared"))
+    own = cut(items.join(q.withColumnRenamed("query_id", "graph_id"), "graph_id", "left_semi").select(F.col("graph_id").alias("query_id"), "item"))
+    if own.count() <= BROADCAST_ROWS:  # each graph's items in one partition, so that the counts need no further shuffle
+        met = items.repartition("graph_id").join(F.broadcast(own), "item")
+    else:
+        met = own.join(items, "item")
+    return met.where(F.col("query_id") != F.col("graph_id")).groupBy("query_id", "graph_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def ranks(queries: DataFrame, graphs: DataFrame, items: DataFrame, partners: DataFrame) -> DataFrame:
@@ -27,20 +33,23 @@ def ranks(queries: DataFrame, graphs: DataFrame, items: DataFrame, partners: Dat
 
     The distance is minus the number of shared items; ties rank by graph_id. Graphs that share nothing aren't listed:
     their places follow from counts, so no query meets all graphs."""
-    s = shared(queries, items)
-    want = partners.select("query_id", "partner_id").distinct().join(queries.select(F.col("graph_id").alias("query_id")), "query_id", "left_semi")
-    order = Window.partitionBy("query_id").orderBy(F.desc("shared"), "graph_id")
-    placed = s.withColumn("place", F.row_number().over(order) - 1)
-    hit = want.join(placed.withColumnRenamed("graph_id", "partner_id"), ["query_id", "partner_id"])
-    miss = want.join(s.select("query_id", F.col("graph_id").alias("partner_id")), ["query_id", "partner_id"], "left_anti")
-    # before a partner that shares nothing come all graphs that share something and those of lower id that share nothing
     from graphweave.operators.keys import dense_ids
 
+    want = partners.select("query_id", "partner_id").distinct().where(F.col("query_id") != F.col("partner_id")).join(queries.select(F.col("graph_id").alias("query_id")).distinct(), "query_id", "left_semi")
     at = dense_ids(graphs.select("graph_id").distinct(), [F.asc("graph_id")], "ord")
-    miss = miss.join(at.withColumnRenamed("graph_id", "partner_id"), "partner_id").join(at.select(F.col("graph_id").alias("query_id"), F.col("ord").alias("q_ord")), "query_id")
-    counts = miss.join(s, "query_id", "left").groupBy("query_id", "partner_id", "ord", "q_ord").agg(F.count("graph_id").alias("all"), F.count_if(F.col("graph_id") < F.col("partner_id")).alias("lower"))
-    rest = counts.select("query_id", "partner_id", F.lit(0).cast("bigint").alias("distance"), (F.col("all") + F.col("ord") - F.col("lower") - F.when(F.col("q_ord") < F.col("ord"), 1).otherwise(0)).cast("int").alias("place"))
-    return hit.select("query_id", "partner_id", (-F.col("shared")).alias("distance"), "place").unionByName(rest)
+    want = want.join(at.select(F.col("graph_id").alias("partner_id"), F.col("ord").alias("p_ord")), "partner_id").join(at.select(F.col("graph_id").alias("query_id"), F.col("ord").alias("q_ord")), "query_id")
+    mine, theirs = items.withColumnRenamed("graph_id", "query_id"), items.withColumnRenamed("graph_id", "partner_id")
+    own = want.select("query_id", "partner_id").join(mine, "query_id").join(theirs, ["partner_id", "item"]).groupBy("query_id", "partner_id").agg(F.count(F.lit(1)).alias("own"))
+    want = cut(want.join(own, ["query_id", "partner_id"], "left").withColumn("own", F.coalesce("own", F.lit(0).cast("bigint"))))
+    s = shared(want.select(F.col("query_id").alias("graph_id")), items)
+    lower = F.col("graph_id") < F.col("partner_id")
+    ahead = (F.col("shared") > F.col("own")) | ((F.col("shared") == F.col("own")) & lower)
+    counts = s.join(want.select("query_id", "partner_id", "own"), "query_id").groupBy("query_id", "partner_id").agg(F.count_if(ahead).alias("ahead"), F.count_if(lower).alias("lower"))
+    out = want.join(counts, ["query_id", "partner_id"], "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("ahead", "lower")})
+    # of the graphs that share nothing, those of lower id come before a partner that shares nothing
+    nothing = F.col("p_ord") - F.when(F.col("q_ord") < F.col("p_ord"), 1).otherwise(0) - F.col("lower")
+    place = F.col("ahead") + F.when(F.col("own") == 0, nothing).otherwise(0)
+    return out.select("query_id", "partner_id", (-F.col("own")).alias("distance"), place.cast("int").alias("place"))
 
 
 def mean_rank(ranked: DataFrame) -> DataFrame:

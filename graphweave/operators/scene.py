@@ -40,12 +40,13 @@ def pair_positions(runs: DataFrame, order: DataFrame) -> DataFrame:
     symbol for each change of object, + before it if other runs lie between; a repeated object adds nothing but moves on
     the place from which between counts. Runs of id 0 are no object."""
     seen = runs.where(F.col("segment_id") != 0).join(order, ["image_id", "segment_id"]).select("image_id", "x", "run", "segment_id", "rank")
-    present = seen.select("image_id", "x", "segment_id", "rank").distinct()
-    a = present.select("image_id", "x", F.col("segment_id").alias("i"), F.col("rank").alias("ri"))
-    b = present.select("image_id", "x", F.col("segment_id").alias("j"), F.col("rank").alias("rj"))
-    pairs = a.join(b, ["image_id", "x"]).where((F.col("ri") < F.col("rj")) | ((F.col("ri") == F.col("rj")) & (F.col("i") < F.col("j")))).select("image_id", "x", "i", "j")
-    both = pairs.join(seen.select("image_id", "x", "run", "segment_id"), ["image_id", "x"]).where((F.col("segment_id") == F.col("i")) | (F.col("segment_id") == F.col("j")))
-    per = both.groupBy("image_id", "x", "i", "j").agg(F.array_sort(F.collect_list(F.struct("run", F.when(F.col("segment_id") == F.col("i"), "i").otherwise("j").alias("sym")))).alias("s"))
+    # one row a column with its runs in order; its pairs are formed in place, so nothing but the runs is shuffled
+    columns = seen.groupBy("image_id", "x").agg(F.array_sort(F.collect_list(F.struct("run", "segment_id", "rank"))).alias("runs"))
+    columns = columns.withColumn("objects", F.array_sort(F.array_distinct(F.transform("runs", lambda r: F.struct(r["rank"].alias("rank"), r["segment_id"].alias("id"))))))
+    firsts = columns.select("image_id", "runs", "objects", F.posexplode("objects").alias("at", "a"))
+    pairs = firsts.select("image_id", "runs", F.col("a.id").alias("i"), F.explode(F.slice("objects", F.col("at") + 2, F.size("objects"))).alias("b")).select("image_id", "runs", "i", F.col("b.id").alias("j"))
+    mine = F.filter("runs", lambda r: (r["segment_id"] == F.col("i")) | (r["segment_id"] == F.col("j")))
+    per = pairs.select("image_id", "i", "j", F.transform(mine, lambda r: F.struct(r["run"].alias("run"), F.when(r["segment_id"] == F.col("i"), "i").otherwise("j").alias("sym"))).alias("s"))
     start = F.struct(F.lit("").alias("word"), F.lit("").alias("last"), F.lit(-1).cast("bigint").alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -60,7 +61,7 @@ def pair_positions(runs: DataFrame, order: DataFrame) -> DataFrame:
         F.when(mark == "ij", "i on j").when(mark == "ji", "j on i").when(mark == "i+j", "i above j").when(mark == "j+i", "j above i")
         .when(mark.isin("iji", "i+ji", "ij+i", "i+j+i"), "i around j").when(mark.isin("jij", "j+ij", "ji+j", "j+i+j"), "j around i").otherwise("other")
     )
-    return w.withColumn("kind", kind).groupBy("image_id", "i", "j").pivot("kind", list(COUNTERS)).count().na.fill(0)
+    return w.withColumn("kind", kind).groupBy("image_id", "i", "j").agg(*[F.count_if(F.col("kind") == c).alias(c) for c in COUNTERS])
 
 
 def boxes(runs: DataFrame) -> DataFrame:
