@@ -142,3 +142,18 @@ def merge_masks(detections: DataFrame, stuff: DataFrame, *, things: list[int], v
     both = detections.select(*common, F.col("ord").cast("bigint").alias("ord"), F.col("category_id").cast("int").alias("category_id"), "runs", F.lit(False).alias("is_stuff"))
     both = both.unionByName(stuff.select(*common, F.lit(0).cast("bigint").alias("ord"), F.col("category_id").cast("int").alias("category_id"), "runs", F.lit(True).alias("is_stuff")))
     return both.groupBy("image_id").applyInPandas(merge, kind)
+
+
+def assign_ids(segments: DataFrame, categories: DataFrame) -> DataFrame:
+    """segments with segment_id: the id of the category's colour for its first segment in an image, then the next ids free there.
+
+    segments: (image_id, ord, category_id). A definite rule in place of random colours near the category's."""
+    from pyspark.sql import Window
+
+    base = F.col("color")[0].cast("bigint") + F.col("color")[1].cast("bigint") * 256 + F.col("color")[2].cast("bigint") * 65536
+    rows = segments.join(categories.select(F.col("id").alias("category_id"), base.alias("base")), "category_id")
+    # ids rise by base; one that is taken by the row before moves up behind it
+    order = Window.partitionBy("image_id").orderBy("base", "ord")
+    k = F.row_number().over(order)
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("__k", k).withColumn("segment_id", F.col("__k") + F.max(F.col("base") - F.col("__k")).over(run)).select(*segments.columns, "segment_id")

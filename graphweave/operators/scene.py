@@ -126,3 +126,18 @@ def encode_mask(pixels: DataFrame, key: list[str], order: str, value: str) -> Da
 def decode_mask(runs: Column) -> Column:
     """The 0/1 values of run lengths that start with 0."""
     return F.flatten(F.transform(runs, lambda n, i: F.array_repeat((i % 2).cast("int"), n)))
+
+
+def touch_depth(runs: DataFrame, order: DataFrame) -> DataFrame:
+    """(image_id, i, j, touches, touch_gap): where runs of a pair follow each other in a column, the mean absolute difference of depth at their border.
+
+    runs: column_runs_depth. The depth variant of pair_positions, whose counters it goes with; pairs that never touch
+    have no row."""
+    down = Window.partitionBy("image_id", "x").orderBy("run")
+    r = runs.withColumns({"next_id": F.lead("segment_id").over(down), "next_first": F.lead("depth_first").over(down)})
+    r = r.where((F.col("segment_id") != 0) & (F.col("next_id") != 0) & (F.col("segment_id") != F.col("next_id")))
+    rank = order.select("image_id", "segment_id", "rank")
+    r = r.join(rank, ["image_id", "segment_id"]).join(rank.select("image_id", F.col("segment_id").alias("next_id"), F.col("rank").alias("next_rank")), ["image_id", "next_id"])
+    up = (F.col("rank") < F.col("next_rank")) | ((F.col("rank") == F.col("next_rank")) & (F.col("segment_id") < F.col("next_id")))
+    i, j = F.when(up, F.col("segment_id")).otherwise(F.col("next_id")), F.when(up, F.col("next_id")).otherwise(F.col("segment_id"))
+    return r.groupBy("image_id", i.alias("i"), j.alias("j")).agg(F.count(F.lit(1)).alias("touches"), F.avg(F.abs(F.col("depth_last") - F.col("next_first"))).alias("touch_gap"))
