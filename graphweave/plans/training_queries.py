@@ -94,7 +94,6 @@ TERM = "nullif(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), '')"
 _LABELS = f"(SELECT DISTINCT graph_id, node_id, {TERM.format('label')} term FROM nodes WHERE {TERM.format('label')} IS NOT NULL)"
 _SEGMENTS = """(SELECT image_id, x.id segment_id, x.category_id category_id, max(x.area) area
     FROM (SELECT image_id, unnest(segments_info) x FROM panoptic) WHERE x.category_id IS NOT NULL GROUP BY ALL)"""
-_RECORDS = """(SELECT DISTINCT record_id, payload FROM raw_records WHERE json_valid(payload))"""
 
 
 def _last(keys: str, array: str, fields: str, table: str) -> str:
@@ -103,8 +102,22 @@ def _last(keys: str, array: str, fields: str, table: str) -> str:
         SELECT * EXCLUDE (items), unnest(range(len(items)))::INT child_no, unnest(items) x
         FROM (SELECT {keys}, arg_max({array}, loaded_at) items FROM {table} GROUP BY ALL)) WHERE x IS NOT NULL"""
 
+_KINDS = "('segments_info', 'nodes', 'links')"
+# objects by the paths of a JSON tree; a text that holds JSON starts a tree of its own
+_CHILDREN = f"""WITH RECURSIVE p AS (SELECT DISTINCT record_id, payload::JSON j FROM raw_records WHERE json_valid(payload)),
+    a0 AS (SELECT record_id, CASE WHEN json_type(j, '$.annotations') = 'VARCHAR' AND json_valid(j ->> '$.annotations') THEN (j ->> '$.annotations')::JSON ELSE json_extract(j, '$.annotations') END a FROM p),
+    a1 AS (SELECT record_id, CASE json_type(a) WHEN 'ARRAY' THEN json_extract(a, '$[*]') WHEN 'OBJECT' THEN [a] ELSE [] END l FROM a0),
+    w AS (SELECT record_id, (k - 1)::INT ann_no, l[k] doc, NULL::VARCHAR kind, NULL::INT child FROM a1, unnest(range(1, len(l) + 1)) u(k)
+        UNION ALL SELECT record_id, ann_no, (value ->> '$')::JSON, CASE WHEN fullkey NOT LIKE '%]' THEN CASE WHEN key IN {_KINDS} THEN key END WHEN path = '$' THEN CASE WHEN child IS NULL THEN kind END ELSE nullif(regexp_extract(path, '[.](segments_info|nodes|links)$', 1), '') END,
+            CASE WHEN fullkey LIKE '%]' THEN key::INT END
+        FROM (SELECT w.*, x.key, x.value, x.fullkey, x.path FROM w, json_tree(w.doc) x WHERE x.type = 'VARCHAR' AND left(ltrim(x.value ->> '$'), 1) IN ('{{', '[') AND json_valid(x.value ->> '$'))),
+    c AS (SELECT record_id, ann_no, CASE WHEN fullkey = '$' THEN kind WHEN fullkey NOT LIKE '%]' THEN CASE WHEN key IN {_KINDS} THEN key END WHEN path = '$' THEN CASE WHEN child IS NULL THEN kind END ELSE nullif(regexp_extract(path, '[.](segments_info|nodes|links)$', 1), '') END kind,
+            CASE WHEN fullkey = '$' THEN coalesce(child, 0) WHEN fullkey LIKE '%]' THEN key::INT ELSE 0 END child_no
+        FROM (SELECT w.*, x.key, x.fullkey, x.path FROM w, json_tree(w.doc) x WHERE x.type = 'OBJECT'))
+    SELECT DISTINCT record_id, ann_no, kind, child_no FROM c WHERE kind IS NOT NULL"""
 
 ORACLE = {
+    "p6_found": _CHILDREN,
     "p2_labels": f"SELECT term, count(*) nodes, count(DISTINCT graph_id) graphs FROM {_LABELS} GROUP BY term",
     "p2_categories": f"SELECT category_id, count(*) segments, count(DISTINCT image_id) images, sum(area)::BIGINT area FROM {_SEGMENTS} GROUP BY 1",
     "p2_found": f"""SELECT 'label' field_name, term key_value FROM {_LABELS} GROUP BY term
