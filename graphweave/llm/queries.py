@@ -166,4 +166,8 @@ ORACLE = {
         SELECT field_name, term, sum(n)::BIGINT occurrences, count(*) records, CASE WHEN count(*) <= {RARE} THEN 'rare' WHEN count(*) * 5 >= any_value(total) THEN 'common' END mark
         FROM o JOIN w USING (field_name) GROUP BY field_name, term""",
 }
+#: every window of SPAN characters of every text, by hash
+ORACLE["p9_found"] = f"""WITH s AS (SELECT DISTINCT doc_id, hash(substring(text, i, {SPAN})) h FROM documents, unnest(range(1, length(text) - {SPAN} + 2)) u(i) WHERE length(text) >= {SPAN}),
+    k AS (SELECT s.* FROM s JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h))
+    SELECT DISTINCT a.doc_id doc_a, b.doc_id doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id"""
 ORACLE["p4_found"] = f"SELECT field_name, term, mark FROM ({ORACLE['p4_frequencies']}) WHERE mark IS NOT NULL"
