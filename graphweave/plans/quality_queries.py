@@ -161,7 +161,7 @@ def confusion_metrics(spark, d):
     return rounded(V.segmentation_scores(_confusion(spark, d)), "pixel_acc", "mean_acc", "mean_iou", "freq_iou")
 
 
-_BOXES = f"WITH {_SEG}, bx AS (SELECT image_id, segment_id id, segment_id % 200 y1, (segment_id // 200) % 200 x1, segment_id % 200 + 1 + area % 60 y2, (segment_id // 200) % 200 + 1 + (area // 60) % 60 x2, category_id % 5 class_id, (segment_id % 1000) / 1000.0::DOUBLE score FROM sg)"
+_BOXES = f"WITH {_SEG}, bx AS (SELECT image_id, segment_id::BIGINT id, segment_id % 200 y1, (segment_id // 200) % 200 x1, segment_id % 200 + 1 + area % 60 y2, (segment_id // 200) % 200 + 1 + (area // 60) % 60 x2, category_id % 5 class_id, (segment_id % 1000) / 1000.0::DOUBLE score FROM sg)"
 
 
 def boxes(spark, d):

@@ -58,7 +58,7 @@ def pair_positions(spark, d):
     return out.select("image_id", "i", "j", *[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in S.COUNTERS[:4]])
 
 
-@query(f"{_RUNS} SELECT image_id, segment_id, min(y0)::BIGINT y1, min(x) x1, max(y0 + len)::BIGINT y2, max(x) + 1 x2 FROM rr GROUP BY ALL")
+@query(f"{_RUNS} SELECT image_id, segment_id, min(y0)::BIGINT y1, min(x)::INT x1, max(y0 + len)::BIGINT y2, (max(x) + 1)::INT x2 FROM rr GROUP BY ALL")
 def bbox(spark, d):
     return S.boxes(runs(spark, d))
 
@@ -111,7 +111,7 @@ _EDGES = [
     ("AtLocation", "kettle", "kitchen", 3.0), ("HasA", "kitchen", "table_top", 2.0), ("MadeOf", "kitchen", "wall_panel", 0.5), ("AtLocation", "tram", "city", 2.0), ("RelatedTo", "foliage", "park", 1.0), ("AtLocation", "pedestrian", "park", 1.0),
 ]
 _PLACES = ["street", "harbour", "city", "kitchen", "park", "tram"]
-_VALUES = f"""ed AS (SELECT * FROM (VALUES {', '.join(map(str, _EDGES))}) v(rel, a, b, w)), pl AS (SELECT unnest({_PLACES}) place),
+_VALUES = f"""ed AS (SELECT rel, a, b, w::DOUBLE w FROM (VALUES {', '.join(map(str, _EDGES))}) v(rel, a, b, w)), pl AS (SELECT unnest({_PLACES}) place),
     cc AS (SELECT graph_id, replace(label, ' ', '_') concept FROM (SELECT DISTINCT graph_id, nullif(trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')), '') label FROM nodes) WHERE label IS NOT NULL),
     rp AS (SELECT b place, a concept, rel, w FROM ed WHERE rel IN {K.TO_PLACE + ('Antonym',)} AND b IN (SELECT place FROM pl) UNION ALL SELECT a, b, rel, w FROM ed WHERE rel IN {K.FROM_PLACE + ('Antonym',)} AND a IN (SELECT place FROM pl))"""
 
