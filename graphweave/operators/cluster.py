@@ -92,26 +92,29 @@ def kmedoids(df: DataFrame, key: str, features: str, k: int, iterations: int = 1
     CANDIDATES members nearest to its mean and takes the least sum: a heuristic like the alternation itself, which spares
     the quadratic search over all members."""
     items = cut(df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x")))
-    medoids = items.orderBy("id").limit(k)
-    before: set = set()
+    rows = items.orderBy("id").limit(k).collect()  # k rows, as literals: no join with them
     for _ in range(iterations):
-        # k rows
-        now = cut(medoids.select(F.col("id").alias("m"), F.col("x").alias("mx")))
-        ids = {r["m"] for r in now.select("m").collect()}
-        if ids == before:
-            break
-        before = ids
-        assigned = cut(items.join(F.broadcast(now)).groupBy("id").agg(F.min_by(F.struct("m"), F.struct(distance2(F.col("x"), F.col("mx")), F.col("m"))).alias("b"), F.first("x").alias("x")).select("id", "x", "b.m"))
+        assigned = cut(items.select("id", "x", _nearest(rows)["m"].alias("m")))
         centre = assigned.select("m", F.posexplode("x").alias("i", "v")).groupBy("m", "i").agg(F.avg("v").alias("v")).groupBy("m").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).select("m", F.transform("c", lambda s: s["v"]).alias("c"))
         near = assigned.join(F.broadcast(centre), "m").withColumn("d", distance2(F.col("x"), F.col("c")))
         near = near.withColumn("p", F.row_number().over(Window.partitionBy("m").orderBy("d", "id"))).where(F.col("p") <= CANDIDATES)
         options = near.select("m", F.col("id").alias("o"), F.col("x").alias("ox"))
         sums = assigned.join(F.broadcast(options), "m").groupBy("m", "o").agg(F.sum(F.sqrt(distance2(F.col("x"), F.col("ox")))).alias("s"), F.first("ox").alias("x"))
-        medoids = sums.groupBy("m").agg(F.min_by(F.struct(F.col("o").alias("id"), "x"), F.struct(F.round("s", 9), "o")).alias("b")).select("b.id", "b.x")
-    now = cut(medoids.select(F.col("id").alias("m"), F.col("x").alias("mx")))
-    d = F.sqrt(distance2(F.col("x"), F.col("mx")))
-    out = items.join(F.broadcast(now)).groupBy("id").agg(F.min_by(F.struct("m", d.alias("d")), F.struct(d, F.col("m"))).alias("b"))
-    return out.select(F.col("id").alias(key), F.col("b.m").alias("medoid"), F.col("b.d").alias("distance"))
+        found = sums.groupBy("m").agg(F.min_by(F.struct(F.col("o").alias("id"), "x"), F.struct(F.round("s", 9), "o")).alias("b")).select("b.id", "b.x").collect()
+        settled = {r["id"] for r in found} == {r["id"] for r in rows}
+        rows = found
+        if settled:
+            break
+    if not rows:
+        return items.select(F.col("id").alias(key), F.col("id").alias("medoid"), F.lit(0.0).alias("distance"))
+    near = _nearest(rows)
+    return items.select(F.col("id").alias(key), near["m"].alias("medoid"), F.sqrt(near["d"]).alias("distance"))
+
+
+def _nearest(medoids: list) -> Column:
+    """The nearest of a few rows (id, x) to the column x, as a struct (d, m): squared distance, ties to the lower id."""
+    points = [F.struct(distance2(F.col("x"), F.array(*[F.lit(float(v)) for v in r["x"]])).alias("d"), F.lit(r["id"]).alias("m")) for r in sorted(medoids, key=lambda r: r["id"])]
+    return F.array_min(F.array(*points)) if points else F.struct(F.lit(None).cast("double").alias("d"), F.lit(None).alias("m"))
 
 
 #: Members nearest to a cluster's mean among which its medoid is sought.

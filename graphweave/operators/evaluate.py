@@ -12,7 +12,8 @@ def diversity(sets: DataFrame, ids: str, items: str, keys: list[str] | None = No
     """keys and diversity: mean over pairs of 1 - Jaccard of the item sets; pairs with an empty set add 0 but count.
 
     sets has a row per id and an array of items. A single set has diversity 1 if it isn't empty, else 0; none give no
-    row. Computed from an inverted index: only pairs that share an item are joined, all others add 1 (or 0)."""
+    row. Computed from an inverted index: only pairs that share an item are joined, all others add 1 (or 0). The measure is
+    one of all pairs, so it is meant for summaries, which are of the top k."""
     keys = keys or []
     full = sets.select(*keys, F.col(ids).alias("id"), F.array_distinct(F.coalesce(F.col(items), F.array().cast(sets.schema[items].dataType))).alias("x"))
     sizes = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("x") > 0).alias("f"))

@@ -168,8 +168,9 @@ def sweep(g: Graphs, minsups: list[int], **options) -> DataFrame:
     """(minsup, patterns, max_nodes, avg_edges): mining repeated over supports. Mined once, at the least of them."""
     every = cut(frequent_subgraphs(g, min(minsups), **options).patterns)
     grid = g.graphs.sparkSession.createDataFrame([(m,) for m in sorted(set(minsups))], "minsup int")
-    rows = F.broadcast(grid).join(every, F.col("sup") >= F.col("minsup"), "left")
-    return rows.groupBy("minsup").agg(F.count("pattern_id").alias("patterns"), F.max("n_nodes").alias("max_nodes"), F.avg("n_edges").alias("avg_edges"))
+    reached = F.filter(F.array(*[F.lit(m) for m in sorted(set(minsups))]), lambda m: m <= F.col("sup"))
+    rows = every.withColumn("minsup", F.explode(reached)).groupBy("minsup").agg(F.count(F.lit(1)).alias("patterns"), F.max("n_nodes").alias("max_nodes"), F.avg("n_edges").alias("avg_edges"))
+    return grid.join(rows, "minsup", "left").withColumn("patterns", F.coalesce("patterns", F.lit(0).cast("bigint")))
 
 
 def maximal_itemsets(patterns: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweave.operators.keys import dense_ids
+
 #: Default entropy ceiling: that of three equally likely bins in nats, compared with entropies in bits.
 MAX_ENTROPY = math.log(3)
 #: The same ceiling in the unit of the entropies.
@@ -89,9 +91,8 @@ def merge_matrix(prs: DataFrame, ceiling: float, positions: list[str], base: flo
     """(pos_a, pos_b, low): histograms whose entropy is at most the ceiling after merging two positions; equal positions: without merging.
 
     Each histogram's bins meet the pairs of the given positions, which are a fixed handful."""
-    spark = prs.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in positions for b in positions if a <= b], "pos_a string, pos_b string")
-    merged = prs.join(F.broadcast(grid)).withColumn("pos", F.when(F.col("pos") == F.col("pos_b"), F.col("pos_a")).otherwise(F.col("pos")))
+    grid = F.array(*[F.struct(F.lit(a).alias("pos_a"), F.lit(b).alias("pos_b")) for a in positions for b in positions if a <= b])
+    merged = prs.withColumn("__m", F.explode(grid)).select("*", "__m.*").withColumn("pos", F.when(F.col("pos") == F.col("pos_b"), F.col("pos_a")).otherwise(F.col("pos")))
     bins = merged.groupBy("pos_a", "pos_b", "subj", "ref", "pos").agg(F.sum("likelihood").alias("p"))
     per = bins.groupBy("pos_a", "pos_b", "subj", "ref").agg(entropy(F.col("p"), base).alias("entropy"))
     return per.groupBy("pos_a", "pos_b").agg(F.count_if(F.round("entropy", 9) <= F.lit(round(ceiling, 9))).alias("low"))
@@ -115,8 +116,8 @@ def support_outliers(prs: DataFrame) -> DataFrame:
 
 def same_class(prs: DataFrame) -> DataFrame:
     """(label, sup, place): pairs of a class with itself by falling support."""
-    own = pairs(prs).where(F.col("subj") == F.col("ref"))
-    return own.select(F.col("subj").alias("label"), "sup", F.row_number().over(Window.orderBy(F.desc("sup"), "subj")).alias("place"))
+    own = pairs(prs).where(F.col("subj") == F.col("ref")).select(F.col("subj").alias("label"), "sup")
+    return dense_ids(own, [F.desc("sup"), F.asc("label")], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def kth_with_position(prs: DataFrame, pos: str, k: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave.functions.terms import term
 from graphweave.model import Graphs, cut_graphs
 from graphweave.operators import evaluate as V
 from graphweave.operators import matching as C
@@ -121,23 +122,42 @@ def coverage_2edge(spark, d):
     return C.coverage(g, keep(p.nodes), keep(p.edges)).where("cnt > 0")
 
 
-_TOP = 'top AS (SELECT * FROM pt ORDER BY sup DESC, subj, pos, "ref" LIMIT 20)'
+# the 20 patterns of greatest support of each run in the table sgs, its deliveries once
+_RUNS = """WITH s0 AS (SELECT run_name, g.graph.name id, max(coalesce(sup, 0)) sup, arg_max(g.nodes, loaded_at) nodes, arg_max(g.links, loaded_at) links FROM sgs GROUP BY ALL),
+    s AS (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY sup DESC, id) k FROM s0 QUALIFY k <= 20),
+    nl AS (SELECT run_name, id, x.id node, nullif(trim(regexp_replace(lower(x.label), '[^a-z0-9]+', ' ', 'g')), '') label FROM (SELECT run_name, id, unnest(nodes) x FROM s)),
+    el AS (SELECT run_name, id, x.s s, x.r r, nullif(trim(regexp_replace(lower(x.pos), '[^a-z0-9]+', ' ', 'g')), '') pos FROM (SELECT run_name, id, unnest(links) x FROM s)),
+    it AS ({items}), l AS (SELECT s.run_name, s.id, coalesce(list(DISTINCT item) FILTER (item IS NOT NULL), []) l FROM s LEFT JOIN it ON it.run_name = s.run_name AND it.id = s.id GROUP BY ALL)
+    SELECT a.run_name, round(avg(CASE WHEN len(a.l) > 0 AND len(b.l) > 0 THEN 1 - len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))) ELSE 0 END), 6) diversity
+    FROM l a JOIN l b ON a.run_name = b.run_name AND a.id < b.id GROUP BY 1"""
 
 
-@query(""", top AS (SELECT pid, subj, pos, "ref" FROM pt), s AS (SELECT pid, list_distinct([subj, "ref"]) l FROM top)
-    SELECT round(avg(1 - len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l)))), 6) diversity FROM s a JOIN s b ON a.pid < b.pid""")
+def _runs(spark, d):
+    """(run_name, id, labels, triples) of the leading patterns of each run."""
+    from pyspark.sql import Window
+
+    rows = spark.read.parquet(f"{d}/sgs.parquet").groupBy("run_name", F.col("g.graph.name").alias("id")).agg(F.max(F.coalesce("sup", F.lit(0))).alias("sup"), F.max_by("g.nodes", "loaded_at").alias("nodes"), F.max_by("g.links", "loaded_at").alias("links"))
+    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("run_name").orderBy(F.desc("sup"), "id"))).where("k <= 20")
+    return cut(top.select("run_name", "id", "nodes", "links"))
+
+
+@query()
 def diversity_nodes(spark, d):
-    _, p = _mined(spark, d, 1)
-    return rounded(V.diversity(V.pattern_sets(p.nodes, p.edges), "pattern_id", "labels"), "diversity")
+    labels = F.array_compact(F.transform("nodes.label", lambda x: term(x)))
+    return rounded(V.diversity(_runs(spark, d).withColumn("x", labels), "id", "x", ["run_name"]), "diversity")
 
 
-@query(""", x AS (SELECT graph_id, list_distinct(list(subj || '|' || pos || '|' || "ref")) l FROM ne WHERE graph_id < 600 GROUP BY 1), y AS (SELECT * FROM x)
-    SELECT round(avg(1 - len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l)))), 6) diversity FROM x a JOIN y b ON a.graph_id < b.graph_id""".replace(" WHERE graph_id < 600", ""))
+@query()
 def diversity_edges(spark, d):
-    """Diversity of the triples of all pruned graphs with edges."""
-    t = pruned(spark, d).triples()
-    sets = t.groupBy("graph_id").agg(F.collect_set(F.concat_ws("|", "subj", "pos", "ref")).alias("x"))
-    return rounded(V.diversity(cut(sets), "graph_id", "x"), "diversity")
+    def label(node):
+        return term(F.filter("nodes", lambda n: n["id"] == node)[0]["label"])
+
+    triples = F.array_compact(F.transform("links", lambda x: F.concat(label(x["s"]), F.lit("|"), term(x["pos"]), F.lit("|"), label(x["r"]))))
+    return rounded(V.diversity(_runs(spark, d).withColumn("x", triples), "id", "x", ["run_name"]), "diversity")
+
+
+ORACLE["diversity_nodes"] = _RUNS.replace("{items}", "SELECT run_name, id, label item FROM nl WHERE label IS NOT NULL")
+ORACLE["diversity_edges"] = _RUNS.replace("{items}", "SELECT el.run_name, el.id, a.label || '|' || pos || '|' || b.label item FROM el JOIN nl a ON a.run_name = el.run_name AND a.id = el.id AND a.node = s JOIN nl b ON b.run_name = el.run_name AND b.id = el.id AND b.node = r WHERE pos IS NOT NULL AND a.label IS NOT NULL AND b.label IS NOT NULL")
 
 
 @query("""SELECT (SELECT count(*) FROM pt) n_graphs, (SELECT count(DISTINCT (subj, "ref")) FROM pt) distinct_sets, 2.0::DOUBLE avg_nodes,
