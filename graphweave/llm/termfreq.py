@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.session import lookup
+
 #: Counters of a task's summary, from which heavy terms are found.
 COUNTERS = 4096
 #: At most so many terms are counted in local arrays; their number bounds what is broadcast.
@@ -89,4 +91,4 @@ def mark_terms(counts: DataFrame, totals: DataFrame, *, rare: int = 2, common: f
     one that is neither, and every term of a field without total that isn't rare, has a null mark."""
     n = F.col("records")
     mark = F.when(n <= rare, "rare").when(n >= F.lit(common) * F.col("all_records"), "common")
-    return counts.join(F.broadcast(totals), "field", "left").withColumn("mark", mark)
+    return lookup(counts, totals, ["field"], totals.count(), "left").withColumn("mark", mark)
