@@ -63,9 +63,11 @@ def filter_prs(prs: DataFrame, minsup: int | Column | None = None, max_entropy:
 
 def likelihood(triples: DataFrame, prs: DataFrame) -> DataFrame:
     """Triples with sup, entropy and likelihood of their position: null without a histogram of the pair, 0 without a bin."""
-    known = pairs(prs)
-    out = triples.join(known, ["subj", "ref"], "left").join(prs.select("subj", "ref", "pos", F.col("likelihood").alias("__p")), ["subj", "ref", "pos"], "left")
-    return out.withColumn("likelihood", F.when(F.col("sup").isNotNull(), F.coalesce("__p", F.lit(0.0)))).drop("__p")
+    # one row a pair with its bins as a map, so that the triples are joined once
+    bins = F.map_from_entries(F.collect_list(F.struct("pos", "likelihood"))).alias("__bins")
+    known = prs.groupBy("subj", "ref").agg(F.max("sup").alias("sup"), F.max("entropy").alias("entropy"), bins)
+    out = triples.join(known, ["subj", "ref"], "left")
+    return out.withColumn("likelihood", F.when(F.col("sup").isNotNull(), F.coalesce(F.try_element_at("__bins", F.col("pos")), F.lit(0.0)))).drop("__bins")
 
 
 def clean(prs: DataFrame, top: int | None = None) -> DataFrame:
