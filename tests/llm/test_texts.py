@@ -211,7 +211,7 @@ def test_ward_against_brute_force():
     assert {frozenset(np.flatnonzero(got == g)) for g in set(got)} == {frozenset(g) for g in groups}
 
 
-def test_varied_subset(spark):
+def test_varied_subset(spark, monkeypatch):
     r = random.Random(3)
     themes = [[k * 10 + i for i in range(6)] for k in range(5)]
     rows = []
@@ -229,6 +229,9 @@ def test_varied_subset(spark):
     first = {i: m for _, i, m in rows}
     assert len({min(first[i] or [-10]) // 10 for _, i in by[1]}) >= 4  # not four times the large theme
     assert {x["run_name"] for x in out if x["job_id"] == 2} == {"run"}
+    monkeypatch.setattr(subset, "MAX_GROUPS", 3)  # in the driver: fewer groups than records wanted
+    more = choose_varied(df, spark.createDataFrame([(1, None, 9)], "job_id int, run_name string, subset_size int"), record="id", group="run_name", members="m")
+    assert more.select("run_name", "record").distinct().count() == 9
     same = spark.createDataFrame([("r", i, [1, 2]) for i in range(30)], "run_name string, id int, m array<bigint>")
     picked = choose_varied(same, spark.createDataFrame([(1, None, 7)], "job_id int, run_name string, subset_size int"), record="id", group="run_name", members="m")
     assert picked.select("record").distinct().count() == 7  # equal records still fill the size
