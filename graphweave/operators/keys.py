@@ -23,7 +23,7 @@ def dense_ids(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame
     first, start = {}, 0
     for p, n in sizes:
         first[p], start = start, start + n
-    starts = spark.createDataFrame([(p, n) for p, n in first.items()], f"__part long, __start long")
+    starts = spark.createDataFrame([(p, n) for p, n in first.items()], "__part long, __start long")
     return (
         fixed.withColumn("__part", part)
         .join(F.broadcast(starts), "__part")

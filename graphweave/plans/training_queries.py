@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphweave.functions.terms import term
 from graphweave.operators.nested import child_tables, flatten, nested_children
-from graphweave.operators.salted import heavy_keys, salted_aggregate
+from graphweave.operators.salted import salted_aggregate
 
 #: Share of the rows from which p2_found names a key.
 HOT = 0.05
