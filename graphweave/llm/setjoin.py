@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.session import cut, parallelism
+from graphweave.session import BROADCAST_ROWS, cut, parallelism
 
 #: Distinct sets that may share a tree's prefix before their neighbourhoods deepen instead of being compared at this depth.
 NEIGHBOURHOOD = 1500
@@ -161,7 +161,9 @@ def _tree_rows(trees: int, depth: int, seed: int):
                 salt = _mix(np.arange(trees, dtype=np.uint64) + np.uint64(seed * 1000 + 1))
                 grp = (_mix(codes ^ salt)).view(np.int64).ravel()
                 rows = pa.array(np.repeat(np.arange(b.num_rows), trees))
-                yield pa.RecordBatch.from_arrays([pa.array(grp), *(b.column(c).take(rows) for c in ("rid", "side", "items"))], names=["grp", "rid", "side", "items"])
+                # what is compared in the trees is half of each hash; see _verify
+                short = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(grp), *(x.take(rows) for x in (b.column("rid"), b.column("side"), short))], names=["grp", "rid", "side", "items"])
 
     return run
 
@@ -186,18 +188,19 @@ def class_links(sets: DataFrame, threshold: float, *, recall: float = 0.99999, d
 
     sets is the result of set_classes. Equal sets are one class, compared once. In each of many independent trees the
     classes are ordered by a sequence of minhash values; those sharing a prefix of the level's depth are one
-    neighbourhood, and all its pairs are verified exactly. The number of trees is the one at which a pair just at the
+    neighbourhood, and all its pairs are compared; what
+    seems similar is verified exactly. The number of trees is the one at which a pair just at the
     threshold shares some prefix with the wanted recall. A neighbourhood above NEIGHBOURHOOD isn't compared at this
     depth: its members go on to the next level, whose prefixes are longer and whose trees are as many as the recall
     then takes. After LEVELS levels what is left is compared whole, block against block, so nothing is dropped."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = sets.sparkSession
-    todo = cut(sets.groupBy(F.col("class_id").alias("rid")).agg(F.max("items").alias("items"), F.expr("bit_or(side)").cast("int").alias("side")))
+    classes = todo = cut(sets.groupBy(F.col("class_id").alias("rid")).agg(F.max("items").alias("items"), F.expr("bit_or(side)").cast("int").alias("side")))
     parts, out = parallelism(spark), None
     for level in range(LEVELS):
         d = depth + DEEPEN * level
-        rows = todo.mapInArrow(_tree_rows(trees_for(threshold, d, recall), d, level + 1), "grp bigint, rid bigint, side int, items array<bigint>")
+        rows = todo.mapInArrow(_tree_rows(trees_for(threshold, d, recall), d, level + 1), "grp bigint, rid bigint, side int, items array<int>")
         sizes = cut(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURHOOD))
         over = sizes.count()
         small = rows.withColumn("part", F.lit(0)) if not over else rows.join(_maybe_broadcast(sizes.select("grp"), over), "grp", "left_anti").withColumn("part", F.lit(0))
@@ -216,11 +219,26 @@ def class_links(sets: DataFrame, threshold: float, *, recall: float = 0.99999, d
             part = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
             large = large.select(F.xxhash64("grp", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "rid", "side", "items", part.alias("part"))
             out = out.unionByName(_pairs(large, parts, threshold, cross))
-    return out.groupBy("rid_a", "rid_b").agg(F.max("common").alias("common"), F.max("whole").alias("whole"))
+    return _verify(out.select("rid_a", "rid_b").distinct(), classes, threshold)
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(rid_a, rid_b, common, whole) of the pairs that reach the threshold by the whole hashes.
+
+    The trees carry 32 of 64 bits of each member: two sets have at least as many halves in common as members, so no pair
+    is missed there, and one that only seems similar goes here."""
+    pairs = cut(pairs)
+    n = pairs.count()
+    for side in ("a", "b"):
+        items = classes.select(F.col("rid").alias(f"rid_{side}"), F.col("items").alias(f"items_{side}"))
+        pairs = (F.broadcast(pairs) if side == "a" and n <= BROADCAST_ROWS else pairs).join(items, f"rid_{side}")
+    common = F.size(F.array_intersect("items_a", "items_b")).cast("bigint")
+    out = pairs.select("rid_a", "rid_b", common.alias("common"), (F.size("items_a") + F.size("items_b")).cast("bigint").alias("both")).withColumn("whole", F.col("both") - F.col("common"))
+    return out.where(F.col("common") >= F.lit(threshold) * F.col("whole") - 1e-9).select("rid_a", "rid_b", "common", "whole")
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= 100_000 else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _pairs(rows: DataFrame, parts: int, threshold: float, cross: bool) -> DataFrame:
