@@ -96,16 +96,32 @@ def _verified(i: np.ndarray, j: np.ndarray, flat: np.ndarray, starts: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _compare(threshold: float, cross: bool):
-    """Rows (grp, part, rid, side, items), those of a group together: verified pairs of sets in each group.
+def _compare(threshold: float, cross: bool, limit: int | None):
+    """Rows (grp, part, rid, side, items), those of a group together: similar pairs of sets in each group.
+
+    Of a group above the limit each member comes out as a pair with itself, whole -1, and nothing is compared.
 
     part 0 is a whole neighbourhood or block within; 1 and 2 are the two blocks to be crossed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def flush(b: pa.Table) -> pa.RecordBatch:
+        rows, over = 0, None
+
+        def crowd(rid: np.ndarray) -> pa.RecordBatch:
+            minus = pa.array(np.full(len(rid), -1, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(rid), minus, minus], names=["rid_a", "rid_b", "common", "whole"])
+
+        def flush(b: pa.Table) -> Iterator[pa.RecordBatch]:
+            if limit is not None:
+                values, inverse, counts = np.unique(b.column("grp").to_numpy(), return_inverse=True, return_counts=True)
+                big = (counts > limit)[inverse]
+                if big.any():
+                    yield crowd(b.column("rid").to_numpy()[big])
+                    b = b.filter(pa.array(~big))
+            if b.num_rows:
+                yield compare(b)
+
+        def compare(b: pa.Table) -> pa.RecordBatch:
             b = b.combine_chunks()
             items = b.column("items").combine_chunks()
             items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
@@ -131,6 +147,13 @@ def _compare(threshold: float, cross: bool):
             return pairs.combine_chunks().to_batches()[0] if pairs.num_rows else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["rid_a", "rid_b", "common", "whole"])
 
         for b in batches:
+            if over is not None:  # the rest of a crowded group
+                same = b.column("grp").to_numpy() == over
+                if same.any():
+                    yield crowd(b.column("rid").to_numpy()[same])
+                    b = b.filter(pa.array(~same))
+                if b.num_rows:
+                    over = None
             if not b.num_rows:
                 continue
             held.append(b)
@@ -140,11 +163,14 @@ def _compare(threshold: float, cross: bool):
                 group = table.column("grp").to_numpy()
                 cut_at = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
                 if cut_at:
-                    yield flush(table.slice(0, cut_at))
+                    yield from flush(table.slice(0, cut_at))
                     held = table.slice(cut_at).combine_chunks().to_batches()
                     rows = len(group) - cut_at
+                if limit is not None and rows > limit:  # one group so far, and crowded
+                    yield crowd(np.concatenate([x.column("rid").to_numpy() for x in held]))
+                    held, rows, over = [], 0, group[-1]
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield from flush(pa.Table.from_batches(held))
 
     return run
 
@@ -201,24 +227,24 @@ def class_links(sets: DataFrame, threshold: float, *, recall: float = 0.99999, d
     for level in range(LEVELS):
         d = depth + DEEPEN * level
         rows = todo.mapInArrow(_tree_rows(trees_for(threshold, d, recall), d, level + 1), "grp bigint, rid bigint, side int, items array<int>")
-        sizes = cut(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURHOOD))
-        over = sizes.count()
-        small = rows.withColumn("part", F.lit(0)) if not over else rows.join(_maybe_broadcast(sizes.select("grp"), over), "grp", "left_anti").withColumn("part", F.lit(0))
-        found = _pairs(small, parts, threshold, cross)
-        out = found if out is None else out.unionByName(found)
-        if not over:
+        found = cut(_pairs(rows.withColumn("part", F.lit(0)), parts, threshold, cross, NEIGHBOURHOOD))
+        similar = found.where("whole >= 0")
+        out = similar if out is None else out.unionByName(similar)
+        crowded = cut(found.where("whole < 0").select(F.col("rid_a").alias("rid")).distinct())
+        n = crowded.count()
+        if not n:
             break
-        large = rows.join(_maybe_broadcast(sizes, over), "grp")
-        if level + 1 < LEVELS:
-            keep = large.select("rid").distinct()
-            todo = cut(todo.join(keep, "rid", "left_semi"))
-        else:
-            block = NEIGHBOURHOOD // 2
+        todo = cut(todo.join(_maybe_broadcast(crowded, n), "rid", "left_semi"))
+        if level + 1 == LEVELS:  # what is still crowded, by blocks
+            rows = todo.mapInArrow(_tree_rows(trees_for(threshold, d, recall), d, level + 1), "grp bigint, rid bigint, side int, items array<int>")
+            sizes = cut(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURHOOD))
+            large = rows.join(_maybe_broadcast(sizes, sizes.count()), "grp")
+            block = max(1, NEIGHBOURHOOD // 2)
             large = large.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
             large = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             part = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
             large = large.select(F.xxhash64("grp", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "rid", "side", "items", part.alias("part"))
-            out = out.unionByName(_pairs(large, parts, threshold, cross))
+            out = out.unionByName(_pairs(large, parts, threshold, cross, None))
     return _verify(out.select("rid_a", "rid_b").distinct(), classes, threshold)
 
 
@@ -241,9 +267,9 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _pairs(rows: DataFrame, parts: int, threshold: float, cross: bool) -> DataFrame:
+def _pairs(rows: DataFrame, parts: int, threshold: float, cross: bool, limit: int | None) -> DataFrame:
     near = rows.select("grp", "part", "rid", "side", "items").repartition(parts, "grp").sortWithinPartitions("grp")
-    return near.mapInArrow(_compare(threshold, cross), "rid_a bigint, rid_b bigint, common bigint, whole bigint")
+    return near.mapInArrow(_compare(threshold, cross, limit), "rid_a bigint, rid_b bigint, common bigint, whole bigint")
 
 
 def similar_records(df: DataFrame, record: str, member: str, threshold: float, *, min_size: int = 1, other: DataFrame | None = None, recall: float = 0.99999) -> tuple[DataFrame, DataFrame]:

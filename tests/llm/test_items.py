@@ -140,3 +140,18 @@ def test_marks_and_odd_tables(spark):
     assert got == {"a": "rare", "b": None, "c": "common", "d": "rare"}  # rare goes before common
     empty = spark.createDataFrame([], "field string, r int, t string, term string, records int")
     assert term_frequencies(empty, "field", ["r"], "t").collect() == []
+
+
+def test_crowded_group_passes_through_in_batches():
+    import pyarrow as pa
+
+    def batch(groups, first):
+        n = len(groups)
+        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array([0] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array([1] * n, pa.int32()), pa.array([[1, 2]] * n, pa.list_(pa.int32()))], names=["grp", "part", "rid", "side", "items"])
+
+    groups = [1] * 3 + [2] * 35_000 + [3] * 2
+    batches = [batch(groups[i : i + 10_000], i) for i in range(0, len(groups), 10_000)]
+    out = pa.Table.from_batches(list(setjoin._compare(0.6, False, 100)(iter(batches)))).to_pylist()
+    crowd, pairs = {x["rid_a"] for x in out if x["whole"] < 0}, {(x["rid_a"], x["rid_b"]) for x in out if x["whole"] >= 0}
+    assert crowd == set(range(3, 35_003)) and len([x for x in out if x["whole"] < 0]) == 35_000
+    assert pairs == {(0, 1), (0, 2), (1, 2), (35_003, 35_004)}
