@@ -59,6 +59,37 @@ def test_shared_spans_against_brute_force(spark, seed, hot):
         assert len(span) >= 20 and span == b[x["start_b"] : x["start_b"] + x["chars"]]
 
 
+def brute_spans(texts, n):
+    """(a, b, start_a, start_b, chars) of all maximal spans, by walking every diagonal."""
+    out = set()
+    for (a, s), (b, t) in itertools.combinations(texts, 2):
+        for shift in range(1 - len(t), len(s)):
+            run = 0
+            for i in range(max(0, shift), min(len(s), len(t) + shift) + 1):
+                if i < min(len(s), len(t) + shift) and s[i] == t[i - shift]:
+                    run += 1
+                    continue
+                if run >= n:
+                    out.add((a, b, i - run, i - run - shift, run))
+                run = 0
+    return out
+
+
+def spans_of(spark, texts, **options):
+    return [tuple(x) for x in SharedSpans(spark.createDataFrame(texts, "doc_id bigint, text string"), **options).exact().collect()]
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_spans_of_any_length_in_any_group_are_whole(spark, hot):
+    r = random.Random(11)
+    word = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    header, footer, twice = word(300), word(45), word(30)
+    texts = [(d, (word(d) if d % 2 else "") + header + word(5) + (twice + word(3)) * (1 + d % 2) + footer) for d in range(8)]
+    texts.append((8, header[100:] + word(9)))
+    got = spans_of(spark, texts, min_len=20, hot_texts=hot)
+    assert len(got) == len(set(got)) and set(got) == brute_spans(texts, 20)
+
+
 def test_shares_and_passages(spark):
     texts = corpus(3)
     s = SharedSpans(spark.createDataFrame(texts, "doc_id bigint, text string"), min_len=20)
