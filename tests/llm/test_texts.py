@@ -90,6 +90,19 @@ def test_spans_of_any_length_in_any_group_are_whole(spark, hot):
     assert len(got) == len(set(got)) and set(got) == brute_spans(texts, 20)
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_periodic_texts_of_different_phase(spark, hot):
+    r = random.Random(12)
+    texts = []
+    for period in (1, 2, 3, 4, 5):
+        unit = "".join(r.choice("pqrstu") for _ in range(period))
+        for n in (20, 23, 27, 60):
+            shift = r.randrange(period)
+            texts.append((len(texts), "".join(r.choice("abcdef") for _ in range(7)) + (unit * 99)[shift : shift + n] + "".join(r.choice("abcdef") for _ in range(7))))
+    got = spans_of(spark, texts, min_len=20, hot_texts=hot)
+    assert len(got) == len(set(got)) and set(got) == brute_spans(texts, 20)
+
+
 def test_shares_and_passages(spark):
     texts = corpus(3)
     s = SharedSpans(spark.createDataFrame(texts, "doc_id bigint, text string"), min_len=20)
