@@ -87,13 +87,8 @@ def least_support(g: Graphs, share: float) -> int:
     return max(1, -int(-(share * n) // 1))
 
 
-def frequent_subgraphs(g: Graphs, minsup: int, *, max_edges: int = 3, directed: bool = False, self_loops: bool = False, min_nodes: int = 2, max_nodes: int = MAX_NODES) -> Patterns:
-    """All connected patterns of 1..max_edges edges found in at least minsup graphs (edges of a graph may be extra: not induced).
-
-    directed=False mines edges without direction, which is then rebuilt from the order of the labels; edges between
-    equal labels so lose theirs. Support counts graphs. Each level joins the embeddings kept so far with the frequent
-    edges of their graph, keeps one row per set of edges, and drops patterns below minsup; a level is written to the
-    shared folder, so a lost executor costs no earlier level. Empty collections give empty tables."""
+def _frequent_edges(g: Graphs, minsup: int, directed: bool, self_loops: bool) -> DataFrame:
+    """(graph_id, e): the edges whose kind is in at least minsup graphs."""
     t = g.triples()
     if not self_loops:
         t = t.where(F.col("s") != F.col("r"))
@@ -102,24 +97,35 @@ def frequent_subgraphs(g: Graphs, minsup: int, *, max_edges: int = 3, directed:
         t = t.select("graph_id", *[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("s", "r"), ("r", "s"), ("subj", "ref"), ("ref", "subj"))], "pos").distinct()
     t = t.select("graph_id", F.struct(F.xxhash64("s", "pos", "r").alias("id"), F.col("s").cast("bigint").alias("s"), F.col("r").cast("bigint").alias("r"), "subj", "pos", "ref").alias("e"))
     one = t.groupBy("e.subj", "e.pos", "e.ref").agg(F.countDistinct("graph_id").alias("n")).where(F.col("n") >= minsup).drop("n")
-    edges = cut(t.select("graph_id", "e", "e.subj", "e.pos", "e.ref").join(one, ["subj", "pos", "ref"], "left_semi").select("graph_id", "e"))
+    return cut(t.select("graph_id", "e", "e.subj", "e.pos", "e.ref").join(one, ["subj", "pos", "ref"], "left_semi").select("graph_id", "e"))
+
+
+def _grown(emb: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
+    """Embeddings with one more edge each, one row per set of edges."""
+    touch = F.exists("edges", lambda x: (x["s"] == F.col("e.s")) | (x["s"] == F.col("e.r")) | (x["r"] == F.col("e.s")) | (x["r"] == F.col("e.r")))
+    new = ~F.exists("edges", lambda x: x["id"] == F.col("e.id"))
+    grown = emb.select("graph_id", "edges").join(edges, "graph_id").where(touch & new)
+    grown = grown.select("graph_id", F.array_sort(F.concat("edges", F.array("e"))).alias("edges"))
+    nodes = F.size(F.array_distinct(F.flatten(F.transform("edges", lambda x: F.array(x["s"], x["r"])))))
+    return grown.where(nodes <= max_nodes).withColumn("ids", F.transform("edges", lambda x: x["id"])).dropDuplicates(["graph_id", "ids"]).drop("ids")
+
+
+def frequent_subgraphs(g: Graphs, minsup: int, *, max_edges: int | None = None, directed: bool = False, self_loops: bool = False, min_nodes: int = 2, max_nodes: int = MAX_NODES) -> Patterns:
+    """All connected patterns found in at least minsup graphs (edges of a graph may be extra: not induced), with up to max_edges edges if given.
+
+    directed=False mines edges without direction, which is then rebuilt from the order of the labels; edges between
+    equal labels so lose theirs. Support counts graphs. Each level joins the embeddings kept so far with the frequent
+    edges of their graph, keeps one row per set of edges, and drops patterns below minsup; a level is written to the
+    shared folder, so a lost executor costs no earlier level. Empty collections give empty tables."""
+    edges = _frequent_edges(g, minsup, directed, self_loops)
     emb, found = _frequent(_coded(edges.select("graph_id", F.array("e").alias("edges")), directed), minsup)
-    levels = [found]
-    for _ in range(1, max_edges):
-        touch = F.exists("edges", lambda x: (x["s"] == F.col("e.s")) | (x["s"] == F.col("e.r")) | (x["r"] == F.col("e.s")) | (x["r"] == F.col("e.r")))
-        new = ~F.exists("edges", lambda x: x["id"] == F.col("e.id"))
-        grown = emb.select("graph_id", "edges").join(edges, "graph_id").where(touch & new)
-        grown = grown.select("graph_id", F.array_sort(F.concat("edges", F.array("e"))).alias("edges"))
-        nodes = F.size(F.array_distinct(F.flatten(F.transform("edges", lambda x: F.array(x["s"], x["r"])))))
-        grown = grown.where(nodes <= max_nodes).withColumn("ids", F.transform("edges", lambda x: x["id"])).dropDuplicates(["graph_id", "ids"]).drop("ids")
-        emb, found = _frequent(_coded(grown, directed), minsup)
+    every, n = found, 1
+    while max_edges is None or n < max_edges:
+        emb, found = _frequent(_coded(_grown(emb, edges, max_nodes), directed), minsup)
         if found.isEmpty():
             break
-        emb = cut(emb)
-        levels.append(found)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
+        emb, n = cut(emb), n + 1
+        every = every.unionByName(found)
     return pattern_tables(every, min_nodes)
 
 
@@ -135,27 +141,28 @@ def pattern_tables(found: DataFrame, min_nodes: int = 2) -> Patterns:
     return Patterns(patterns, nodes, edges)
 
 
-def compressing_subgraphs(g: Graphs, nsubs: int, *, beam: int = 4, max_edges: int = 3, minsup: int = 2) -> Patterns:
+def compressing_subgraphs(g: Graphs, nsubs: int, *, beam: int = 4, max_edges: int | None = None, minsup: int = 2) -> Patterns:
     """The nsubs patterns that compress the collection most, found by growth with a beam; sup counts graphs.
 
     A pattern's score is size(G) / (size(S) + size(G | S)) with size = nodes + edges and non-overlapping instances
-    estimated by one per graph. Approximate by nature: the beam keeps the best patterns of each level."""
+    estimated by one per graph. Approximate by nature: of each level the embeddings of the best beam * nsubs patterns are
+    extended, by whatever is in minsup graphs."""
     size = g.nodes.count() + g.edges.count()
-    best, every = None, frequent_subgraphs(g, minsup, max_edges=1)
-    frontier_sup = minsup
-    for k in range(1, max_edges + 1):
-        every = frequent_subgraphs(g, frontier_sup, max_edges=k)
-        saved = F.col("sup") * (F.col("n_nodes") + F.col("n_edges") - 1)
-        scored = every.patterns.withColumn("score", F.lit(float(size)) / (F.col("n_nodes") + F.col("n_edges") + F.lit(size) - saved))
-        best = scored
-        level = scored.where(F.col("n_edges") == k).orderBy(F.desc("score"), "code").limit(beam * nsubs)
-        least = level.agg(F.min("sup")).first()[0]
-        if least is None:
+    form = F.from_json("code", "array<string>")
+    own = F.size(F.from_json(form[0], "array<string>")) + F.size(F.from_json(form[1], "array<array<string>>"))
+    score = F.lit(float(size)) / (own + F.lit(size) - F.col("sup") * (own - 1))
+    edges = _frequent_edges(g, minsup, False, False)
+    emb, found = _frequent(_coded(edges.select("graph_id", F.array("e").alias("edges")), False), minsup)
+    every, n = found, 1
+    while max_edges is None or n < max_edges:
+        best = cut(found.orderBy(F.desc(score), "code").limit(beam * nsubs).select("code"))
+        emb = emb.join(F.broadcast(best) if beam * nsubs <= BROADCAST_ROWS else best, "code", "left_semi")
+        emb, found = _frequent(_coded(_grown(emb, edges, MAX_NODES), False), minsup)
+        if found.isEmpty():
             break
-        frontier_sup = max(frontier_sup, int(least))
-    top = best.orderBy(F.desc("score"), "code").limit(nsubs).select("pattern_id")
-    keep = lambda df: df.join(F.broadcast(top), "pattern_id", "left_semi")
-    return Patterns(keep(every.patterns), keep(every.nodes), keep(every.edges))
+        emb, n = cut(emb), n + 1
+        every = every.unionByName(found)
+    return pattern_tables(every.orderBy(F.desc(score), "code").limit(nsubs))
 
 
 def experiment_name(alg: str, edges: bool, nodes: bool, minsup: float | None = None, nsubs: int | None = None) -> str:

@@ -44,7 +44,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _mined(spark: SparkSession, d: str, max_edges: int, minsup: int | None = None) -> tuple[Graphs, M.Patterns]:
+def _mined(spark: SparkSession, d: str, max_edges: int | None, minsup: int | None = None) -> tuple[Graphs, M.Patterns]:
     g = cut_graphs(pruned(spark, d))
     return g, M.frequent_subgraphs(g, minsup or M.least_support(g, SHARE), max_edges=max_edges)
 
@@ -82,12 +82,12 @@ def fsm_2edge(spark, d):
 
 @query()
 def fsm_k(spark, d):
-    return _mined(spark, d, 3)[1].patterns
+    return _mined(spark, d, None)[1].patterns
 
 
 @query()
 def fsm_compressing(spark, d):
-    return M.compressing_subgraphs(cut_graphs(pruned(spark, d)), 20, max_edges=2, minsup=20).patterns
+    return M.compressing_subgraphs(cut_graphs(pruned(spark, d)), 20, minsup=20).patterns
 
 
 @query("SELECT m.x minsup, count(sup) patterns FROM (SELECT unnest([30, 60, 120]) x) m LEFT JOIN f1 ON sup >= x GROUP BY 1")

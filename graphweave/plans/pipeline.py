@@ -24,7 +24,7 @@ class Settings:
     alg: str = "gspan"
     minsup: float = 0.01
     nsubs: int = 100
-    max_edges: int = 3
+    max_edges: int | None = None
     directed: bool = False
     prs_minsup: int | None = None
     min_nodes: int = 2

@@ -136,6 +136,18 @@ def test_mining_against_enumeration(spark, directed):
     assert sups == sorted(sups, reverse=True)
 
 
+def test_mining_goes_on_until_a_level_is_empty(spark):
+    path = build(spark, [(g, i, "abcdef"[i]) for g in range(3) for i in range(6)], [(g, i, "on", i + 1) for g in range(3) for i in range(5)])
+    kinds = mining.frequent_subgraphs(path, 3).patterns.groupBy("n_edges").count().collect()
+    assert {x["n_edges"]: x["count"] for x in kinds} == {1: 5, 2: 4, 3: 3, 4: 2, 5: 1}
+
+
+def test_compressing_extends_to_rarer_patterns(spark):
+    nodes = [(g, i, "abc"[i]) for g in range(10) for i in range(3)]
+    g = build(spark, nodes, [(g, 0, "on", 1) for g in range(10)] + [(g, 1, "on", 2) for g in range(7)])
+    assert [tuple(x) for x in mining.compressing_subgraphs(g, 1, beam=1).patterns.select("sup", "n_edges").collect()] == [(7, 2)]
+
+
 def brute_match(pl, pe, labels, edges, faithful):
     want = {(s, p, r) for s, p, r in pe}
     triples = {(pl[s], p, pl[r]) for s, p, r in pe}
