@@ -88,19 +88,17 @@ def bag_of_codes(descriptors: DataFrame, key: str, features: str, model: KMeansM
 def kmedoids(df: DataFrame, key: str, features: str, k: int, iterations: int = 10) -> DataFrame:
     """(key, medoid, distance): each item's medoid after alternating assignment and update from the first k items by key.
 
-    Distances are Euclidean, ties go to the lower key. The update sums the distances of all members of a cluster to the
-    CANDIDATES members nearest to its mean and takes the least sum: a heuristic like the alternation itself, which spares
-    the quadratic search over all members."""
+    Distances are Euclidean, ties go to the lower key. The update takes the member of least sum of distances to its cluster. That
+    sum is at least the cluster's size times the member's distance from the mean, so members are tried by this distance, block
+    after block, until none is left that could win."""
     items = cut(df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x")))
     rows = items.orderBy("id").limit(k).collect()  # k rows, as literals: no join with them
     for _ in range(iterations):
         assigned = cut(items.select("id", "x", _nearest(rows)["m"].alias("m")))
         centre = assigned.select("m", F.posexplode("x").alias("i", "v")).groupBy("m", "i").agg(F.avg("v").alias("v")).groupBy("m").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).select("m", F.transform("c", lambda s: s["v"]).alias("c"))
-        near = assigned.join(F.broadcast(centre), "m").withColumn("d", distance2(F.col("x"), F.col("c")))
-        near = near.withColumn("p", F.row_number().over(Window.partitionBy("m").orderBy("d", "id"))).where(F.col("p") <= CANDIDATES)
-        options = near.select("m", F.col("id").alias("o"), F.col("x").alias("ox"))
-        sums = assigned.join(F.broadcast(options), "m").groupBy("m", "o").agg(F.sum(F.sqrt(distance2(F.col("x"), F.col("ox")))).alias("s"), F.first("ox").alias("x"))
-        found = sums.groupBy("m").agg(F.min_by(F.struct(F.col("o").alias("id"), "x"), F.struct(F.round("s", 9), "o")).alias("b")).select("b.id", "b.x").collect()
+        near = assigned.join(F.broadcast(centre), "m").withColumn("d", F.sqrt(distance2(F.col("x"), F.col("c"))))
+        near = near.withColumn("p", F.row_number().over(Window.partitionBy("m").orderBy("d", "id"))).withColumn("least", F.col("d") * F.count(F.lit(1)).over(Window.partitionBy("m")))
+        found = _least_sums(assigned, cut(near.select("m", F.col("id").alias("o"), F.col("x").alias("ox"), "p", "least")))
         settled = {r["id"] for r in found} == {r["id"] for r in rows}
         rows = found
         if settled:
@@ -111,14 +109,31 @@ def kmedoids(df: DataFrame, key: str, features: str, k: int, iterations: int = 1
     return items.select(F.col("id").alias(key), near["m"].alias("medoid"), F.sqrt(near["d"]).alias("distance"))
 
 
+def _least_sums(assigned: DataFrame, near: DataFrame) -> list:
+    """Rows (id, x): the member of least sum of distances of each cluster m, tried in the order p while the bound least allows it."""
+    best, done, size = {}, 0, BLOCK
+    while True:
+        options = near.where((F.col("p") > done) & (F.col("p") <= done + size))
+        if best:
+            options = options.where(F.array_max(F.array(*[F.when(F.col("m") == m, F.col("least") <= r["s"] * (1 + 1e-9) + 1e-8).otherwise(F.lit(False)) for m, r in best.items()])))
+        sums = assigned.join(F.broadcast(options.select("m", "o", "ox")), "m").groupBy("m", "o").agg(F.round(F.sum(F.sqrt(distance2(F.col("x"), F.col("ox")))), 9).alias("s"), F.first("ox").alias("x"))
+        rows = sums.groupBy("m").agg(F.min_by(F.struct(F.col("o").alias("id"), "x", "s"), F.struct("s", "o")).alias("b")).select("m", "b.*").collect()
+        if not rows:
+            return list(best.values())
+        for r in rows:
+            if r["m"] not in best or (r["s"], r["id"]) < (best[r["m"]]["s"], best[r["m"]]["id"]):
+                best[r["m"]] = r
+        done, size = done + size, min(2 * size, MOST)
+
+
 def _nearest(medoids: list) -> Column:
     """The nearest of a few rows (id, x) to the column x, as a struct (d, m): squared distance, ties to the lower id."""
     points = [F.struct(distance2(F.col("x"), F.array(*[F.lit(float(v)) for v in r["x"]])).alias("d"), F.lit(r["id"]).alias("m")) for r in sorted(medoids, key=lambda r: r["id"])]
     return F.array_min(F.array(*points)) if points else F.struct(F.lit(None).cast("double").alias("d"), F.lit(None).alias("m"))
 
 
-#: Members nearest to a cluster's mean among which its medoid is sought.
-CANDIDATES = 64
+#: Members of each cluster tried as its medoid at first, and at most at a time.
+BLOCK, MOST = 64, 4096
 
 
 def vectors(df: DataFrame, column: str) -> DataFrame:

@@ -206,6 +206,16 @@ def test_diversity_against_pairs(spark):
     assert evaluate.diversity(df.where("id < 0"), "id", "x").collect() == []
 
 
+def test_medoid_far_from_the_mean(spark):
+    from graphweave.operators.cluster import kmedoids
+
+    r = random.Random(5)
+    x = [r.random() for _ in range(300)] + [10 + r.random() for _ in range(100)]
+    want = min(range(400), key=lambda i: (round(sum(abs(x[i] - y) for y in x), 9), i))
+    df = spark.createDataFrame([(i, [v]) for i, v in enumerate(x)], "id bigint, v array<double>")
+    assert {m["medoid"] for m in kmedoids(df, "id", "v", 1).collect()} == {want}
+
+
 def test_empty_collection(spark):
     g = build(spark, [], [], ids=[1])
     p = prs.build(g.triples())
