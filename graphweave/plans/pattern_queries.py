@@ -132,28 +132,48 @@ _RUNS = """WITH s0 AS (SELECT run_name, g.graph.name id, max(coalesce(sup, 0)) s
     FROM l a JOIN l b ON a.run_name = b.run_name AND a.id < b.id GROUP BY 1"""
 
 
-def _runs(spark, d):
-    """(run_name, id, labels, triples) of the leading patterns of each run."""
+def _runs(spark, d, k: int | None = 20):
+    """(run_name, id, nodes, links) of the k leading patterns of each run (None: of all)."""
     from pyspark.sql import Window
 
     rows = spark.read.parquet(f"{d}/sgs.parquet").groupBy("run_name", F.col("g.graph.name").alias("id")).agg(F.max(F.coalesce("sup", F.lit(0))).alias("sup"), F.max_by("g.nodes", "loaded_at").alias("nodes"), F.max_by("g.links", "loaded_at").alias("links"))
-    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("run_name").orderBy(F.desc("sup"), "id"))).where("k <= 20")
+    top = rows if k is None else rows.withColumn("k", F.row_number().over(Window.partitionBy("run_name").orderBy(F.desc("sup"), "id"))).where(F.col("k") <= k)
     return cut(top.select("run_name", "id", "nodes", "links"))
 
 
-@query()
-def diversity_nodes(spark, d):
+def _diversity_nodes(runs):
     labels = F.array_compact(F.transform("nodes.label", lambda x: term(x)))
-    return rounded(V.diversity(_runs(spark, d).withColumn("x", labels), "id", "x", ["run_name"]), "diversity")
+    return rounded(V.diversity(runs.withColumn("x", labels), "id", "x", ["run_name"]), "diversity")
 
 
-@query()
-def diversity_edges(spark, d):
+def _diversity_edges(runs):
     def label(node):
         return term(F.filter("nodes", lambda n: n["id"] == node)[0]["label"])
 
     triples = F.array_compact(F.transform("links", lambda x: F.concat(label(x["s"]), F.lit("|"), term(x["pos"]), F.lit("|"), label(x["r"]))))
-    return rounded(V.diversity(_runs(spark, d).withColumn("x", triples), "id", "x", ["run_name"]), "diversity")
+    return rounded(V.diversity(runs.withColumn("x", triples), "id", "x", ["run_name"]), "diversity")
+
+
+@query()
+def diversity_nodes(spark, d):
+    """Of the 20 patterns of greatest support of each run, as its SQL says; diversity_nodes_whole has all."""
+    return _diversity_nodes(_runs(spark, d))
+
+
+@query()
+def diversity_edges(spark, d):
+    """Of the 20 patterns of greatest support of each run, as its SQL says; diversity_edges_whole has all."""
+    return _diversity_edges(_runs(spark, d))
+
+
+@query()
+def diversity_nodes_whole(spark, d):
+    return _diversity_nodes(_runs(spark, d, None))
+
+
+@query()
+def diversity_edges_whole(spark, d):
+    return _diversity_edges(_runs(spark, d, None))
 
 
 ORACLE["diversity_nodes"] = _RUNS.replace("{items}", "SELECT run_name, id, label item FROM nl WHERE label IS NOT NULL")

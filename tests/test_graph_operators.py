@@ -206,6 +206,17 @@ def test_diversity_against_pairs(spark):
     assert evaluate.diversity(df.where("id < 0"), "id", "x").collect() == []
 
 
+def test_whole_runs_are_compared(spark, tmp_path):
+    from graphweave.plans.pattern_queries import QUERIES
+
+    schema = "run_name string, sup bigint, loaded_at int, g struct<graph:struct<name:string>, nodes:array<struct<id:int,label:string>>, links:array<struct<s:int,pos:string,r:int>>>"
+    rows = [("run", 99 - i, 1, ((f"p{i:02}",), [(0, "a"), (1, "b" if i < 20 else "c")], [(0, "on", 1)])) for i in range(25)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/sgs.parquet")
+    differ = 20 * 5 / 300  # of the pairs
+    assert QUERIES["diversity_nodes_whole"](spark, str(tmp_path)).first()["diversity"] == pytest.approx(differ * 2 / 3, abs=1e-6)
+    assert QUERIES["diversity_edges_whole"](spark, str(tmp_path)).first()["diversity"] == pytest.approx(differ, abs=1e-6)
+
+
 def test_medoid_far_from_the_mean(spark):
     from graphweave.operators.cluster import kmedoids
 
