@@ -103,8 +103,8 @@ def maximal_itemsets(spark, d):
     return M.maximal_itemsets(p.patterns, p.nodes).select(F.array_join("labels", ",").alias("labels"), "sup")
 
 
-def _cells(spark, d):
-    g, p = _mined(spark, d, 1)
+def _cells(spark, d, max_edges: int | None = 1):
+    g, p = _mined(spark, d, max_edges)
     return g, p, cut(C.coverage(g, p.nodes, p.edges))
 
 
@@ -190,7 +190,7 @@ def summary_metrics(spark, d):
 
 @query()
 def summary_all(spark, d):
-    g, p, cells = _cells(spark, d)
+    g, p, cells = _cells(spark, d, None)
     return V.summary(g, p.patterns, p.nodes, p.edges, cells, k=20)
 
 
@@ -210,10 +210,41 @@ def subset_by_label(spark, d):
 
 @query()
 def first_match(spark, d):
-    g, p = _mined(spark, d, 1)
+    g, p = _mined(spark, d, None)
     return C.first_matches(g, p.nodes, p.edges, 3)
 
 
+# the same over patterns of any number of edges, which the SQL above can't follow
+
+
+@query()
+def fsm_sweep_whole(spark, d):
+    return M.sweep(cut_graphs(pruned(spark, d)), [30, 60, 120])
+
+
+@query()
+def maximal_itemsets_whole(spark, d):
+    _, p = _mined(spark, d, None)
+    return M.maximal_itemsets(p.patterns, p.nodes).select(F.array_join("labels", ",").alias("labels"), "sup")
+
+
+@query()
+def coverage_whole(spark, d):
+    return rounded(_cells(spark, d, None)[2], "overlap")
+
+
+@query()
+def summary_metrics_whole(spark, d):
+    g, p, cells = _cells(spark, d, None)
+    return V.summary(g, p.patterns, p.nodes, p.edges, cells)
+
+
+@query()
+def image_pairing_whole(spark, d):
+    _, _, cells = _cells(spark, d, None)
+    return V.represent(cells, load(spark, d).nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")))
+
+
 ORACLE["caption_search"] = "SELECT doc_id, term, md5(text) digest FROM documents, (SELECT unnest(['import', 'histogram', 'sensor']) term) WHERE contains(text, term)"
 
 

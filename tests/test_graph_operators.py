@@ -217,6 +217,21 @@ def test_whole_runs_are_compared(spark, tmp_path):
     assert QUERIES["diversity_edges_whole"](spark, str(tmp_path)).first()["diversity"] == pytest.approx(differ, abs=1e-6)
 
 
+def test_summaries_hold_patterns_of_any_size(spark, monkeypatch):
+    from graphweave.plans import pattern_queries as Q
+
+    path = build(spark, [(g, i, "abc"[i]) for g in range(30) for i in range(3)], [(g, i, "on", i + 1) for g in range(30) for i in range(2)])
+    mined, held = Q._mined, {}
+    monkeypatch.setattr(Q, "_mined", lambda spark, d, k, *a: held[k] if k in held else held.setdefault(k, mined(spark, d, k, *a)))
+    monkeypatch.setattr(Q, "pruned", lambda spark, d: path)
+    monkeypatch.setattr(Q, "load", lambda spark, d: path)
+    run = lambda name: Q.QUERIES[name](spark, "").collect()
+    assert run("summary_all")[0]["n_graphs"] == run("summary_metrics_whole")[0]["n_graphs"] == 3
+    assert len({x["pattern_id"] for x in run("first_match")}) == len({x["pattern_id"] for x in run("image_pairing_whole")}) == 3
+    assert [tuple(x) for x in run("maximal_itemsets_whole")] == [("a,b,c", 30)] and len(run("coverage_whole")) == 90
+    assert {x["minsup"]: x["patterns"] for x in run("fsm_sweep_whole")} == {30: 3, 60: 0, 120: 0}
+
+
 def test_medoid_far_from_the_mean(spark):
     from graphweave.operators.cluster import kmedoids
 
