@@ -170,4 +170,9 @@ ORACLE = {
 ORACLE["p9_found"] = f"""WITH s AS (SELECT DISTINCT doc_id, hash(substring(text, i, {SPAN})) h FROM documents, unnest(range(1, length(text) - {SPAN} + 2)) u(i) WHERE length(text) >= {SPAN}),
     k AS (SELECT s.* FROM s JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h))
     SELECT DISTINCT a.doc_id doc_a, b.doc_id doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id"""
+ORACLE["p9_shares"] = f"""WITH s AS (SELECT doc_id, i, hash(substring(text, i, {SPAN})) h FROM documents, unnest(range(1, length(text) - {SPAN} + 2)) u(i) WHERE length(text) >= {SPAN}),
+    k AS (SELECT h FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    f AS (SELECT doc_id, least({SPAN}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {SPAN})) n FROM s JOIN k USING (h)),
+    c AS (SELECT doc_id, sum(n)::BIGINT n FROM f GROUP BY 1)
+    SELECT doc_id, length(text)::BIGINT chars, coalesce(n, 0) shared_chars, coalesce(n, 0) / length(text) AS share FROM documents LEFT JOIN c USING (doc_id) WHERE length(text) >= {SPAN}"""
 ORACLE["p4_found"] = f"SELECT field_name, term, mark FROM ({ORACLE['p4_frequencies']}) WHERE mark IS NOT NULL"

@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 
 from graphweave.llm import packing, subset
+from graphweave.llm.align import chains, edits, grow, merge_diagonals
 from graphweave.llm.mixing import mix, sainte_lague
 from graphweave.llm.packing import Limits, best_fit, pack, pack_report
-from graphweave.llm.spans import SharedSpans, chains, code_points, merge_diagonals, seeds, window_hashes
+from graphweave.llm.spans import SharedSpans, code_points, seeds, window_hashes
 from graphweave.llm.subset import CFTree, choose_varied, ward_groups
 from graphweave.llm.tokens import count, encoder, token_sizes, vocabulary_dir
 
@@ -103,6 +104,54 @@ def test_periodic_texts_of_different_phase(spark, hot):
     assert len(got) == len(set(got)) and set(got) == brute_spans(texts, 20)
 
 
+def test_long_block_in_many_texts(spark):
+    r = random.Random(13)
+    word = lambda k: "".join(r.choice("abcdefgh \n") for _ in range(k))
+    block, stretch = word(5000), "=" * 30_000
+    texts = [(d, word(40 + d) + block + word(30)) for d in range(80)] + [(80, word(50) + stretch + word(9)), (81, stretch[:20_000] + word(70))]
+    s = SharedSpans(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    got = {x["doc"]: x["shared_chars"] for x in s.shares().collect()}
+    assert all(5000 <= got[d] <= 5012 for d in range(80)) and got[80] == 30_000 and got[81] == 20_000
+    links = [tuple(x) for x in s.pairs().collect()]
+    assert sorted(links) == [*itertools.combinations(range(80), 2), (80, 81)]
+
+
+def test_fuzzy_passages(spark):
+    r = random.Random(14)
+    word = lambda k: "".join(r.choice("abcdefghijklmnop \n") for _ in range(k))
+    base = word(3000)
+    changed = "".join("Z" if i % 150 == 75 else c for i, c in enumerate(base))
+    cut_out = base[:1000] + base[1010:2000] + "new text here" + base[2000:]
+    texts = [(1, word(500) + base + word(400)), (2, word(90) + changed + word(700)), (3, word(3000)), (4, cut_out)]
+    s = SharedSpans(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    rows = {(x["a"], x["b"]): x for x in s.passages().collect()}
+    assert s.passages().count() == len(rows) and set(rows) == {(1, 2), (1, 4), (2, 4)}
+    x = rows[1, 2]
+    assert abs(x["from_a"] - 500) < 8 and abs(x["to_a"] - 3500) < 8 and 18 <= x["edits"] <= 26 and x["identity"] > 0.99
+    assert 20 <= rows[1, 4]["edits"] <= 30 and rows[1, 4]["to_a"] - rows[1, 4]["from_a"] >= 2998
+    assert {tuple(p) for p in s.pairs().collect()} == brute_pairs(texts, 250)
+
+
+def test_edits_against_dynamic_programming():
+    r = random.Random(15)
+    for _ in range(200):
+        x, y = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x):
+            row = [i + 1, *row[1:]] if not y else [n for n in _next(row, i, c, y)]
+        assert edits(x, y, 20) == row[-1]
+    assert edits("abc" * 50, "xyz" * 50, 8) is None and edits("a", "abcdefghijkl", 3) is None
+    assert grow("same text X and more", "same text Y and more of", 0, 0)[:3] == (20, 20, 1)
+    assert grow("abcdef", "qrstuv", 0, 0)[:3] == (0, 0, 0)
+
+
+def _next(row, i, c, y):
+    out = [i + 1]
+    for j, d in enumerate(y):
+        out.append(min(out[-1] + 1, row[j + 1] + 1, row[j] + (c != d)))
+    return out
+
+
 def test_shares_and_passages(spark):
     texts = corpus(3)
     s = SharedSpans(spark.createDataFrame(texts, "doc_id bigint, text string"), min_len=20)
