@@ -12,7 +12,7 @@ from graphweave.llm.packing import pack, pack_report
 from graphweave.llm.setjoin import record_pairs, similar_records
 from graphweave.llm.spans import SharedSpans
 from graphweave.llm.subset import choose_varied
-from graphweave.llm.termfreq import mark_terms, term_frequencies
+from graphweave.llm.termfreq import mark_terms, record_term_frequencies, unite_deliveries
 from graphweave.llm.tokens import token_sizes
 
 #: p1_found: least graphs with both items, and least lift.
@@ -60,27 +60,16 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d)[1]
 
 
-def _occurrences(spark: SparkSession, d: str) -> DataFrame:
-    """(field, record, term), a row per occurrence, each record's deliveries once."""
-    graphs = spark.read.parquet(f"{d}/scene_graphs.parquet").select(F.col("graph.name").alias("record"), F.array_sort(F.transform("nodes.label", lambda x: term(x))).alias("terms"))
-    labels = graphs.groupBy("record", F.xxhash64("terms").alias("delivery")).agg(F.max("terms").alias("terms"))
-    labels = labels.select("record", "delivery", F.explode("terms").alias("term")).where(F.col("term").isNotNull())
-    labels = labels.groupBy("record", "delivery", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("record", "term").agg(F.max("n").cast("int").alias("n"))
-    labels = labels.select(F.lit("label").alias("field"), "record", "term", F.explode(F.sequence(F.lit(1), "n")).alias("k")).drop("k")
-    sups = spark.read.parquet(f"{d}/sgs.parquet").select(F.lit("sup").alias("field"), F.col("g.graph.name").alias("record"), F.col("sup").cast("string").alias("term"))
-    return labels.unionByName(sups.where(F.col("term").isNotNull()).distinct())
-
-
-def _totals(spark: SparkSession, d: str) -> DataFrame:
-    labels = spark.read.parquet(f"{d}/scene_graphs.parquet").select(F.col("graph.name").alias("record")).distinct()
-    sups = spark.read.parquet(f"{d}/sgs.parquet").select(F.col("g.graph.name").alias("record")).distinct()
-    n = F.count(F.lit(1)).alias("all_records")
-    return labels.agg(F.lit("label").alias("field"), n).unionByName(sups.agg(F.lit("sup").alias("field"), n))
+def _deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """(field, record, terms), a row per delivery."""
+    graphs = spark.read.parquet(f"{d}/scene_graphs.parquet").select(F.lit("label").alias("field"), F.col("graph.name").alias("record"), F.transform("nodes.label", lambda x: term(x)).alias("terms"))
+    sups = spark.read.parquet(f"{d}/sgs.parquet").select(F.lit("sup").alias("field"), F.col("g.graph.name").alias("record"), F.array(F.col("sup").cast("string")).alias("terms"))
+    return graphs.unionByName(sups)
 
 
 def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    counts = term_frequencies(_occurrences(spark, d), "field", ["record"], "term")
-    return mark_terms(counts, _totals(spark, d), rare=RARE, common=COMMON).select(F.col("field").alias("field_name"), "term", "occurrences", "records", "mark")
+    rows, totals = unite_deliveries(_deliveries(spark, d), "field", "record", "terms")
+    return mark_terms(record_term_frequencies(rows), totals, rare=RARE, common=COMMON).select(F.col("field").alias("field_name"), "term", "occurrences", "records", "mark")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -166,6 +155,14 @@ ORACLE = {
         SELECT field_name, term, sum(n)::BIGINT occurrences, count(*) records, CASE WHEN count(*) <= {RARE} THEN 'rare' WHEN count(*) * 5 >= any_value(total) THEN 'common' END mark
         FROM o JOIN w USING (field_name) GROUP BY field_name, term""",
 }
+_CLASSES = f"""t AS (SELECT graph_id, list(term ORDER BY term) terms FROM {_LABEL_TERMS} WHERE graph_id IS NOT NULL GROUP BY 1 HAVING count(*) >= {MIN_TERMS}),
+    m AS (SELECT graph_id, terms, min(graph_id) OVER (PARTITION BY terms) class_id FROM t),
+    c AS (SELECT class_id, unnest(terms) term, len(terms) n FROM m WHERE graph_id = class_id),
+    p AS (SELECT a.class_id class_a, b.class_id class_b, a.n n, b.n k, count(*) c FROM c a JOIN c b ON a.term = b.term AND a.class_id < b.class_id GROUP BY ALL),
+    l AS (SELECT class_a, class_b, c / (n + k - c) AS similarity FROM p WHERE c * 10 >= 6 * (n + k - c))"""
+ORACLE["p3_links"] = f"WITH {_CLASSES} SELECT * FROM l"
+ORACLE["p3_members"] = f"""WITH {_CLASSES}, d AS (SELECT x, count(*) k FROM (SELECT class_a x FROM l UNION ALL SELECT class_b FROM l) GROUP BY 1)
+    SELECT graph_id, class_id, coalesce(k, 0) links FROM m LEFT JOIN d ON x = class_id"""
 #: every window of SPAN characters of every text, by hash
 ORACLE["p9_found"] = f"""WITH s AS (SELECT DISTINCT doc_id, hash(substring(text, i, {SPAN})) h FROM documents, unnest(range(1, length(text) - {SPAN} + 2)) u(i) WHERE length(text) >= {SPAN}),
     k AS (SELECT s.* FROM s JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h))

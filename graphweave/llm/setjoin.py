@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 
 from graphweave.session import BROADCAST_ROWS, cut, parallelism
 
-#: Distinct sets that may share a tree's prefix before their neighbourhoods deepen instead of being compared at this depth.
-NEIGHBOURHOOD = 1500
-#: A level's prefix is so many signature values longer than the one before it.
-DEEPEN = 2
-#: Levels after which neighbourhoods that are still larger are compared whole, block against block.
-LEVELS = 3
-#: Set members compared at once in a task.
+#: Distinct sets that may share a prefix in a tree before their neighbourhood deepens instead of being compared at this depth.
+NEIGHBOURHOOD = 2000
+#: Depth of the common prefix from which two sets are neighbours, in the first round and in those of crowded sets.
+DEPTHS = (2, 4, 6, 8)
+#: Rounds after which neighbourhoods that are still larger are compared whole, block against block.
+LEVELS = 4
+#: Pairs compared at once in a task.
 CHUNK = 1 << 20
+#: Bits of a set's bitmap; the others of the 64 hold its size up to SIZE_TOP.
+BITMAP, SIZE_TOP = 56, 255
 
 _MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LOW = np.uint64((1 << BITMAP) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,146 +39,124 @@ def trees_for(threshold: float, depth: int, recall: float) -> int:
     return 1 if p >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
 
 
-def prefixes(flat: np.ndarray, sizes: np.ndarray, trees: int, depth: int, seed: int) -> np.ndarray:
-    """(sets x trees) of 64-bit codes: of each set the first depth minhash values in each tree's order, packed in sequence."""
-    out = np.empty((len(sizes), trees), np.uint64)
+def value_bits(trees: int, depth: int) -> int:
+    """Bits of each minhash value in a code: the tree's number and two values beyond the depth have to fit beside."""
+    return (63 - (trees - 1).bit_length()) // (depth + 2)
+
+
+def codes(flat: np.ndarray, sizes: np.ndarray, trees: int, depth: int, seed: int) -> np.ndarray:
+    """(sets x trees) of sortable 63-bit codes: the tree's number, then the first depth + 2 minhash values of the set in that tree.
+
+    The order of the codes of a tree is the lexicographic order of its signatures. Values are cut to value_bits, which
+    only lets some more sets share a prefix."""
+    bits = value_bits(trees, depth)
+    out = np.empty((len(sizes), trees), np.int64)
     starts = np.cumsum(sizes) - sizes
-    seeds = _mix(np.arange(1, trees * depth + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    seeds = _mix(np.arange(1, trees * (depth + 2) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
     for t in range(trees):
-        code = np.zeros(len(sizes), np.uint64)
-        for k in range(depth):
-            code = _mix(code * np.uint64(31) ^ np.minimum.reduceat(_mix(flat ^ seeds[t * depth + k]), starts))
-        out[:, t] = code
+        code = np.full(len(sizes), t, np.uint64)
+        for k in range(depth + 2):
+            least = np.minimum.reduceat(_mix(flat ^ seeds[t * (depth + 2) + k]), starts)
+            code = (code << np.uint64(bits)) | (_mix(least) >> np.uint64(64 - bits))
+        out[:, t] = code.astype(np.int64)
     return out
 
 
-def _candidates(group: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of one group (rows in order) whose sizes allow the threshold, a few at a time."""
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-    lens = np.diff(np.concatenate([starts, [len(group)]]))
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Size (up to SIZE_TOP) and a bitmap of each set's members, in 64 bits."""
+    starts = np.cumsum(sizes) - sizes
+    bit = np.uint64(1) << (_mix(flat ^ np.uint64(0x51ED270B)) % np.uint64(BITMAP))
+    return (np.minimum(sizes, SIZE_TOP).astype(np.uint64) << np.uint64(BITMAP)) | np.bitwise_or.reduceat(bit, starts)
+
+
+def _possible(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two sketched sets may reach the threshold. Each bit that only one has stands for a member the other hasn't."""
+    n, m = (x >> np.uint64(BITMAP)).astype(np.int64), (y >> np.uint64(BITMAP)).astype(np.int64)
+    both = np.minimum(n - np.bitwise_count(x & ~y & _LOW), m - np.bitwise_count(y & ~x & _LOW))
+    return (both >= threshold * (n + m - both) - 1e-9) | (n == SIZE_TOP) | (m == SIZE_TOP)
+
+
+def _index_pairs(first: np.ndarray, lens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of each group of rows in a row, at most about CHUNK at a time."""
     for m in np.unique(lens):
         if m < 2:
             continue
-        rows = starts[lens == m]
-        step = max(1, (1 << 18) // (m * m))
-        if m <= 512:
-            a, b = np.triu_indices(m, 1)
-            for at in range(0, len(rows), step):
-                i, j = (rows[at : at + step][:, None] + a).ravel(), (rows[at : at + step][:, None] + b).ravel()
-                yield i, j
-        else:
-            for s in rows:
-                for k in range(m - 1):
-                    yield np.full(m - 1 - k, s + k), np.arange(s + k + 1, s + m)
-
-
-def _verified(i: np.ndarray, j: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs, those with exact similarity at or above the threshold, and their intersections. table: sorted mixes of (set, member)."""
-    swap = sizes[i] > sizes[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    ok = sizes[i] >= threshold * sizes[j] - 1e-9
-    i, j = i[ok], j[ok]
-    found: list[tuple] = []
-    at = 0
-    ends = np.cumsum(sizes[i])
-    while at < len(i):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
-        a, b = i[at:to], j[at:to]
-        n = sizes[a]
-        first = np.cumsum(n) - n
-        member = np.repeat(starts[a] - first, n) + np.arange(n.sum())
-        probe = _mix(flat[member] ^ _mix(np.repeat(b, n).astype(np.uint64)))
-        where = np.searchsorted(table, probe)
-        hit = (table[np.minimum(where, len(table) - 1)] == probe).astype(np.int64)
-        common = np.add.reduceat(hit, first)
-        good = common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9
-        found.append((a[good], b[good], common[good]))
-        at = to
-    if not found:
-        return i, j, i
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _compare(threshold: float, cross: bool, limit: int | None):
-    """Rows (grp, part, rid, side, items), those of a group together: similar pairs of sets in each group.
-
-    Of a group above the limit each member comes out as a pair with itself, whole -1, and nothing is compared.
-
-    part 0 is a whole neighbourhood or block within; 1 and 2 are the two blocks to be crossed."""
+        starts = first[lens == m]
+        for k in range(0, m - 1, step := max(1, CHUNK // m)):
+            a = np.repeat(np.arange(k, min(m - 1, k + step)), m - 1 - np.arange(k, min(m - 1, k + step)))
+            b = np.concatenate([np.arange(i + 1, m) for i in range(k, min(m - 1, k + step))])
+            at = max(1, CHUNK // len(a))
+            for s in range(0, len(starts), at):
+                yield (starts[s : s + at, None] + a).ravel(), (starts[s : s + at, None] + b).ravel()
+
+
+_PAIR = pa.schema([("rid_a", pa.int64()), ("rid_b", pa.int64())])
+_PAIR_DDL = "rid_a bigint, rid_b bigint"
+
+
+def _neighbours(threshold: float, shift: int, cross: bool, limit: int | None):
+    """Rows (code, rid, sketch, side, part) in order of code: candidate pairs among the sets of one prefix (code >> shift).
+
+    Of a neighbourhood above the limit each member comes out as a pair with itself, and nothing is compared. part 0 is
+    a whole neighbourhood or block within; 1 and 2 are the two blocks to be crossed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows, over = 0, None
-
-        def crowd(rid: np.ndarray) -> pa.RecordBatch:
-            minus = pa.array(np.full(len(rid), -1, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(rid), minus, minus], names=["rid_a", "rid_b", "common", "whole"])
-
-        def flush(b: pa.Table) -> Iterator[pa.RecordBatch]:
-            if limit is not None:
-                values, inverse, counts = np.unique(b.column("grp").to_numpy(), return_inverse=True, return_counts=True)
-                big = (counts > limit)[inverse]
-                if big.any():
-                    yield crowd(b.column("rid").to_numpy()[big])
-                    b = b.filter(pa.array(~big))
-            if b.num_rows:
-                yield compare(b)
-
-        def compare(b: pa.Table) -> pa.RecordBatch:
-            b = b.combine_chunks()
-            items = b.column("items").combine_chunks()
-            items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
-            flat = items.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            sizes = np.diff(items.offsets.to_numpy()).astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
-            group, part = (b.column(c).to_numpy() for c in ("grp", "part"))
-            rid, side = (b.column(c).to_numpy() for c in ("rid", "side"))
-            table = np.sort(_mix(flat ^ _mix(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes))))
-            out = []
-            for i, j in _candidates(group, sizes, threshold):
-                keep = (part[i] != part[j]) | (part[i] == 0)
+        held, over = None, None
+
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_PAIR)
+
+        def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            prefix, rid, sketch, side, part = cols
+            first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+            lens = np.diff(np.concatenate([first, [len(prefix)]]))
+            if limit is not None and (lens > limit).any():
+                crowd = np.repeat(lens > limit, lens)
+                yield out(rid[crowd], rid[crowd])
+                first, lens = first[lens <= limit], lens[lens <= limit]
+            found: list[np.ndarray] = []
+            for i, j in _index_pairs(first, lens):
+                ok = _possible(sketch[i], sketch[j], threshold) & ((part[i] != part[j]) | (part[i] == 0)) & (rid[i] != rid[j])
                 if cross:
-                    keep &= (side[i] | side[j]) == 3
-                i, j = i[keep], j[keep]
-                if len(i):
-                    a, b_, common = _verified(i, j, flat, starts, sizes, table, threshold)
-                    out.append((np.minimum(rid[a], rid[b_]), np.maximum(rid[a], rid[b_]), common, sizes[a] + sizes[b_] - common))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 4
-            pairs = pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["rid_a", "rid_b", "common", "whole"])
-            pairs = pairs.group_by(["rid_a", "rid_b"]).aggregate([("common", "max"), ("whole", "max")])
-            pairs = pairs.select(["rid_a", "rid_b", "common_max", "whole_max"]).rename_columns(["rid_a", "rid_b", "common", "whole"])
-            return pairs.combine_chunks().to_batches()[0] if pairs.num_rows else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["rid_a", "rid_b", "common", "whole"])
+                    ok &= (side[i] | side[j]) == 3
+                i, j = rid[i[ok]], rid[j[ok]]
+                found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+            if found:
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield out(a, b)
 
         for b in batches:
-            if over is not None:  # the rest of a crowded group
-                same = b.column("grp").to_numpy() == over
+            cols = [b.column(c).to_numpy() for c in ("code", "rid", "sketch", "side", "part")]
+            cols[0], cols[2] = cols[0] >> shift, cols[2].view(np.uint64)
+            if over is not None:  # the rest of a crowded neighbourhood
+                same = cols[0] == over
                 if same.any():
-                    yield crowd(b.column("rid").to_numpy()[same])
-                    b = b.filter(pa.array(~same))
-                if b.num_rows:
-                    over = None
-            if not b.num_rows:
-                continue
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 20_000:  # the last group may go on in the next batch
-                table = pa.Table.from_batches(held)
-                group = table.column("grp").to_numpy()
-                cut_at = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
-                if cut_at:
-                    yield from flush(table.slice(0, cut_at))
-                    held = table.slice(cut_at).combine_chunks().to_batches()
-                    rows = len(group) - cut_at
-                if limit is not None and rows > limit:  # one group so far, and crowded
-                    yield crowd(np.concatenate([x.column("rid").to_numpy() for x in held]))
-                    held, rows, over = [], 0, group[-1]
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+                    yield out(cols[1][same], cols[1][same])
+                    cols = [c[~same] for c in cols]
+                if not len(cols[0]):
+                    continue
+                over = None
+            if held is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+            at = int(np.searchsorted(cols[0], cols[0][-1]))  # the last prefix may go on in the next batch
+            if at:
+                yield from flush([c[:at] for c in cols])
+            held = [c[at:] for c in cols]
+            if limit is not None and len(held[0]) > limit:
+                yield out(held[1], held[1])
+                held, over = None, held[0][0]
+        if held is not None and len(held[0]):
+            yield from flush(held)
 
     return run
 
 
+_TREE_DDL = "code bigint, rid bigint, sketch bigint, side tinyint"
+
+
 def _tree_rows(trees: int, depth: int, seed: int):
+    """A row for each set and tree: no members, only the sortable code, the id and the sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -183,19 +164,15 @@ def _tree_rows(trees: int, depth: int, seed: int):
                 items = b.column("items")
                 flat = items.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 sizes = np.diff(items.offsets.to_numpy()).astype(np.int64)
-                codes = prefixes(flat, sizes, trees, depth, seed)
-                salt = _mix(np.arange(trees, dtype=np.uint64) + np.uint64(seed * 1000 + 1))
-                grp = (_mix(codes ^ salt)).view(np.int64).ravel()
-                rows = pa.array(np.repeat(np.arange(b.num_rows), trees))
-                # what is compared in the trees is half of each hash; see _verify
-                short = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(grp), *(x.take(rows) for x in (b.column("rid"), b.column("side"), short))], names=["grp", "rid", "side", "items"])
+                code, sketch = codes(flat, sizes, trees, depth, seed), sketches(flat, sizes).view(np.int64)
+                repeated = (np.repeat(x, trees) for x in (b.column("rid").to_numpy(), sketch, b.column("side").to_numpy()))
+                yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), *map(pa.array, repeated)], names=["code", "rid", "sketch", "side"])
 
     return run
 
 
-def set_classes(df: DataFrame, record: str, member: str, min_size: int = 1, other: DataFrame | None = None) -> DataFrame:
-    """(side, record, class_id, items): each record's set as sorted 64-bit hashes of its members; class_id is equal for equal sets.
+def record_sets(df: DataFrame, record: str, member: str, min_size: int = 1, other: DataFrame | None = None) -> DataFrame:
+    """(side, record, items): each record's set as sorted 64-bit hashes of its members.
 
     df has a row per record and member; nulls are ignored, repeated rows count once, records with fewer than min_size
     members are left out. side is 1, with another table 2 for its records."""
@@ -204,55 +181,53 @@ def set_classes(df: DataFrame, record: str, member: str, min_size: int = 1, othe
         x = x.select(F.col(record).alias("record"), F.col(member).alias("member"))
         x = x.where(F.col("record").isNotNull() & F.col("member").isNotNull())
         x = x.groupBy("record").agg(F.array_sort(F.collect_set(F.xxhash64("member"))).alias("items"))
-        return x.where(F.size("items") >= min_size).select(F.lit(side).alias("side"), "record", F.xxhash64("items").alias("class_id"), "items")
+        return x.where(F.size("items") >= min_size).select(F.lit(side).cast("tinyint").alias("side"), "record", "items")
 
     return sets(df, 1) if other is None else sets(df, 1).unionByName(sets(other, 2))
 
 
-def class_links(sets: DataFrame, threshold: float, *, recall: float = 0.99999, depth: int = 3, cross: bool = False) -> DataFrame:
+def class_links(classes: DataFrame, threshold: float, *, recall: float = 0.99999, cross: bool = False) -> DataFrame:
     """(rid_a, rid_b, common, whole) of pairs of different classes, rid_a < rid_b, with common / whole >= threshold.
 
-    sets is the result of set_classes. Equal sets are one class, compared once. In each of many independent trees the
-    classes are ordered by a sequence of minhash values; those sharing a prefix of the level's depth are one
-    neighbourhood, and all its pairs are compared; what
-    seems similar is verified exactly. The number of trees is the one at which a pair just at the
-    threshold shares some prefix with the wanted recall. A neighbourhood above NEIGHBOURHOOD isn't compared at this
-    depth: its members go on to the next level, whose prefixes are longer and whose trees are as many as the recall
-    then takes. After LEVELS levels what is left is compared whole, block against block, so nothing is dropped."""
+    classes has a row (rid, items, side) for each distinct set; side 1, 2 or 3 says in which tables it is. In each of
+    many independent trees the sets are ordered lexicographically by their minhash signatures; those whose signatures
+    have a common prefix of the round's depth are neighbours and become candidates unless their sizes and bitmaps rule
+    the threshold out (exact). There are as many trees as let a pair at the threshold meet with the wanted recall. A
+    neighbourhood above NEIGHBOURHOOD deepens: its sets go on to a round of greater depth, with as many trees as the
+    recall then takes. After the last round what is left is compared whole, block against block, so nothing is
+    dropped. Members are fetched once, for the distinct candidates, and compared exactly."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    spark = sets.sparkSession
-    classes = todo = cut(sets.groupBy(F.col("class_id").alias("rid")).agg(F.max("items").alias("items"), F.expr("bit_or(side)").cast("int").alias("side")))
-    parts, out = parallelism(spark), None
-    for level in range(LEVELS):
-        d = depth + DEEPEN * level
-        rows = todo.mapInArrow(_tree_rows(trees_for(threshold, d, recall), d, level + 1), "grp bigint, rid bigint, side int, items array<int>")
-        found = cut(_pairs(rows.withColumn("part", F.lit(0)), parts, threshold, cross, NEIGHBOURHOOD))
-        similar = found.where("whole >= 0")
-        out = similar if out is None else out.unionByName(similar)
-        crowded = cut(found.where("whole < 0").select(F.col("rid_a").alias("rid")).distinct())
+    todo, parts, out = classes, parallelism(classes.sparkSession), None
+    for level, depth in enumerate(DEPTHS[:LEVELS]):
+        trees = trees_for(threshold, depth, recall)
+        shift = value_bits(trees, depth) * 2
+        rows = todo.select("rid", "items", "side").mapInArrow(_tree_rows(trees, depth, level + 1), _TREE_DDL)
+        near = rows.repartition(parts, F.shiftright("code", shift)).sortWithinPartitions("code").withColumn("part", F.lit(0).cast("tinyint"))
+        found = cut(near.mapInArrow(_neighbours(threshold, shift, cross, NEIGHBOURHOOD), _PAIR_DDL).distinct())
+        pairs = found.where("rid_a < rid_b")
+        out = pairs if out is None else out.unionByName(pairs)
+        crowded = found.where("rid_a = rid_b").select(F.col("rid_a").alias("rid"))
         n = crowded.count()
         if not n:
             break
         todo = cut(todo.join(_maybe_broadcast(crowded, n), "rid", "left_semi"))
         if level + 1 == LEVELS:  # what is still crowded, by blocks
-            rows = todo.mapInArrow(_tree_rows(trees_for(threshold, d, recall), d, level + 1), "grp bigint, rid bigint, side int, items array<int>")
-            sizes = cut(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURHOOD))
-            large = rows.join(_maybe_broadcast(sizes, sizes.count()), "grp")
+            rows = todo.select("rid", "items", "side").mapInArrow(_tree_rows(trees, depth, level + 1), _TREE_DDL).withColumn("prefix", F.shiftright("code", shift))
+            sizes = cut(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURHOOD))
+            large = rows.join(_maybe_broadcast(sizes, sizes.count()), "prefix")
             block = max(1, NEIGHBOURHOOD // 2)
             large = large.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
             large = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            part = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
-            large = large.select(F.xxhash64("grp", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "rid", "side", "items", part.alias("part"))
-            out = out.unionByName(_pairs(large, parts, threshold, cross, None))
-    return _verify(out.select("rid_a", "rid_b").distinct(), classes, threshold)
+            part = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).cast("tinyint")
+            large = large.select(F.xxhash64("prefix", F.least("i", "j"), F.greatest("i", "j")).alias("code"), "rid", "sketch", "side", part.alias("part"))
+            large = large.repartition(parts, "code").sortWithinPartitions("code")
+            out = out.unionByName(large.mapInArrow(_neighbours(threshold, 0, cross, None), _PAIR_DDL))
+    return _verify(out.distinct(), classes, threshold)
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(rid_a, rid_b, common, whole) of the pairs that reach the threshold by the whole hashes.
-
-    The trees carry 32 of 64 bits of each member: two sets have at least as many halves in common as members, so no pair
-    is missed there, and one that only seems similar goes here."""
+    """(rid_a, rid_b, common, whole) of the candidates that reach the threshold by their members."""
     pairs = cut(pairs)
     n = pairs.count()
     for side in ("a", "b"):
@@ -267,23 +242,26 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _pairs(rows: DataFrame, parts: int, threshold: float, cross: bool, limit: int | None) -> DataFrame:
-    near = rows.select("grp", "part", "rid", "side", "items").repartition(parts, "grp").sortWithinPartitions("grp")
-    return near.mapInArrow(_compare(threshold, cross, limit), "rid_a bigint, rid_b bigint, common bigint, whole bigint")
-
-
 def similar_records(df: DataFrame, record: str, member: str, threshold: float, *, min_size: int = 1, other: DataFrame | None = None, recall: float = 0.99999) -> tuple[DataFrame, DataFrame]:
-    """Two tables: members (side, record, class_id, links) with a row per record, and class links (class_a, class_b, similarity).
+    """Two tables: members (side, record, class_id, links) with a row per record, and class links (class_a, class_b, similarity), class_a < class_b.
 
-    links counts the classes similar to the record's; records with equal sets share a class. With another table, only
+    Records with equal sets share a class, whose class_id is the least of them (with another table a struct of side and
+    record, the least by both); links counts the classes similar to the record's. With another table, only
     links between classes of both tables count. Sets are compared by Jaccard similarity; ties at the threshold count.
     Nulls are ignored, records without members have no set and no row, an empty table gives empty tables."""
-    sets = cut(set_classes(df, record, member, min_size, other))
-    links = cut(class_links(sets, threshold, recall=recall, cross=other is not None).select(F.col("rid_a").alias("class_a"), F.col("rid_b").alias("class_b"), (F.col("common") / F.col("whole")).alias("similarity")))
+    sets = cut(record_sets(df, record, member, min_size, other))
+    name = F.col("record") if other is None else F.struct("side", "record")
+    by = sets.groupBy("items").agg(F.min(name).alias("class_id"), F.expr("bit_or(side)").cast("tinyint").alias("side"))
+    classes = cut(by.withColumn("rid", F.monotonically_increasing_id()))
+    links = class_links(classes, threshold, recall=recall, cross=other is not None)
+    names = classes.select("rid", "class_id")
+    for side in ("a", "b"):
+        links = links.join(names.select(F.col("rid").alias(f"rid_{side}"), F.col("class_id").alias(f"class_{side}")), f"rid_{side}")
+    links = cut(links.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), (F.col("common") / F.col("whole")).alias("similarity")))
     ends = links.select(F.col("class_a").alias("class_id")).unionByName(links.select(F.col("class_b").alias("class_id")))
     degree = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    members = sets.select("side", "record", "class_id").join(degree, "class_id", "left").select("side", "record", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return members, links
+    members = sets.join(classes.select("items", "class_id"), "items").select("side", "record", "class_id")
+    return members.join(degree, "class_id", "left").select("side", "record", "class_id", F.coalesce("links", F.lit(0)).alias("links")), links
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

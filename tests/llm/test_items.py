@@ -2,12 +2,13 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from graphweave.llm import cooccur, setjoin, termfreq
 from graphweave.llm.cooccur import cooccurrences
 from graphweave.llm.setjoin import record_pairs, similar_records
-from graphweave.llm.termfreq import mark_terms, term_frequencies
+from graphweave.llm.termfreq import mark_terms, record_term_frequencies, term_frequencies, unite_deliveries
 
 
 def pairs_of(rows):
@@ -127,6 +128,18 @@ def test_frequencies_against_brute_force(spark):
         assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("heavy", [0, 2, 4096])
+def test_deliveries_count_once(spark, heavy):
+    rows = [("f", 1, ["a", "b", "a", None]), ("f", 1, ["a", None, "a", "b"]), ("f", 2, []), ("f", 3, None), ("f", 4, ["a", "c"]), ("f", 4, ["c", "c"]), ("f", None, ["a"]), ("f", None, ["a"]), ("g", 1, ["a", ""]), ("g", 1, ["x" * 5000])]
+    df = spark.createDataFrame([(*x, 0) for x in rows], "field string, record int, terms array<string>, n int")
+    united, totals = unite_deliveries(df, "field", "record", "terms")
+    got = {(x["field"], x["term"]): (x["occurrences"], x["records"]) for x in record_term_frequencies(united, heavy=heavy).collect()}
+    assert got == {("f", "a"): (4, 3), ("f", "b"): (1, 1), ("f", "c"): (2, 1), ("g", "a"): (1, 1), ("g", ""): (1, 1), ("g", "x" * 5000): (1, 1)}
+    assert {tuple(x) for x in totals.collect()} == {("f", 5), ("g", 1)}
+    united, totals = unite_deliveries(df.limit(0), "field", "record", "terms")
+    assert record_term_frequencies(united).collect() == [] and totals.collect() == []
+
+
 def test_heavy_terms_are_found_by_bounded_summaries(spark, monkeypatch):
     rows = [("f", i, "hot") for i in range(500)] + [("f", i, f"t{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "field string, r int, term string").selectExpr("field", "term", "1L AS occurrences")
@@ -145,13 +158,32 @@ def test_marks_and_odd_tables(spark):
 def test_crowded_group_passes_through_in_batches():
     import pyarrow as pa
 
+    sketch = int(setjoin.sketches(np.array([1, 2], np.uint64), np.array([2]))[0].astype(np.int64))
+
     def batch(groups, first):
         n = len(groups)
-        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array([0] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array([1] * n, pa.int32()), pa.array([[1, 2]] * n, pa.list_(pa.int32()))], names=["grp", "part", "rid", "side", "items"])
+        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array([sketch] * n, pa.int64()), pa.array([1] * n, pa.int8()), pa.array([0] * n, pa.int8())], names=["code", "rid", "sketch", "side", "part"])
 
     groups = [1] * 3 + [2] * 35_000 + [3] * 2
     batches = [batch(groups[i : i + 10_000], i) for i in range(0, len(groups), 10_000)]
-    out = pa.Table.from_batches(list(setjoin._compare(0.6, False, 100)(iter(batches)))).to_pylist()
-    crowd, pairs = {x["rid_a"] for x in out if x["whole"] < 0}, {(x["rid_a"], x["rid_b"]) for x in out if x["whole"] >= 0}
-    assert crowd == set(range(3, 35_003)) and len([x for x in out if x["whole"] < 0]) == 35_000
-    assert pairs == {(0, 1), (0, 2), (1, 2), (35_003, 35_004)}
+    out = pa.Table.from_batches(list(setjoin._neighbours(0.6, 0, False, 100)(iter(batches)))).to_pylist()
+    crowd, pairs = [x["rid_a"] for x in out if x["rid_a"] == x["rid_b"]], {(x["rid_a"], x["rid_b"]) for x in out if x["rid_a"] != x["rid_b"]}
+    assert sorted(crowd) == list(range(3, 35_003)) and pairs == {(0, 1), (0, 2), (1, 2), (35_003, 35_004)}
+
+
+def test_sketches_rule_out_no_similar_pair():
+    r = random.Random(5)
+    for _ in range(300):
+        a = {r.randint(1, 60) for _ in range(r.randint(1, 300))}
+        b = {x for x in a if r.random() < 0.8} | {r.randint(1, 90) for _ in range(r.randint(0, 3))} | {1}
+        s = [setjoin.sketches(np.array(sorted(x), np.uint64), np.array([len(x)])) for x in (a, b)]
+        for t in (0.5, 0.8, 1.0):
+            assert setjoin._possible(s[0], s[1], t)[0] or len(a & b) < t * len(a | b) - 1e-9
+
+
+def test_codes_order_signatures():
+    flat, sizes = np.array([1, 2, 3, 1, 2, 3, 9, 8], np.uint64), np.array([3, 3, 2])
+    code = setjoin.codes(flat, sizes, 26, 2, 1)
+    assert (code[0] == code[1]).all() and (code >= 0).all() and len(np.unique(code[0] >> (4 * setjoin.value_bits(26, 2)))) == 26
+    i, j = (np.concatenate(x) for x in zip(*setjoin._index_pairs(np.array([0, 3, 8]), np.array([3, 1, 4]))))
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (1, 2), *itertools.combinations(range(8, 12), 2)]
