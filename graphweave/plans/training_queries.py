@@ -58,7 +58,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _table(kind: str):
-    return lambda spark, d: child_tables(p6_children(spark, d))[kind]
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return child_tables(nested_children(spark.read.parquet(f"{d}/raw_records.parquet"), "record_id", "payload", kinds=(kind,)))[kind]
+
+    return query
 
 
 def p6_panoptic_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -106,18 +109,26 @@ _KINDS = "('segments_info', 'nodes', 'links')"
 # objects by the paths of a JSON tree; a text that holds JSON starts a tree of its own
 _CHILDREN = f"""WITH RECURSIVE p AS (SELECT DISTINCT record_id, payload::JSON j FROM raw_records WHERE json_valid(payload)),
     a0 AS (SELECT record_id, CASE WHEN json_type(j, '$.annotations') = 'VARCHAR' AND json_valid(j ->> '$.annotations') THEN (j ->> '$.annotations')::JSON ELSE json_extract(j, '$.annotations') END a FROM p),
-    a1 AS (SELECT record_id, CASE json_type(a) WHEN 'ARRAY' THEN json_extract(a, '$[*]') WHEN 'OBJECT' THEN [a] ELSE [] END l FROM a0),
-    w AS (SELECT record_id, (k - 1)::INT ann_no, l[k] doc, NULL::VARCHAR kind, NULL::INT child FROM a1, unnest(range(1, len(l) + 1)) u(k)
+    a1 AS (SELECT record_id, json_type(a) = 'ARRAY' listed, CASE json_type(a) WHEN 'ARRAY' THEN json_extract(a, '$[*]') WHEN 'OBJECT' THEN [a] ELSE [] END l FROM a0),
+    w AS (SELECT record_id, (k - 1)::INT ann_no, l[k] doc, NULL::VARCHAR kind, NULL::INT child, '$.annotations' || CASE WHEN listed THEN '[' || (k - 1) || ']' ELSE '' END base FROM a1, unnest(range(1, len(l) + 1)) u(k)
         UNION ALL SELECT record_id, ann_no, (value ->> '$')::JSON, CASE WHEN fullkey NOT LIKE '%]' THEN CASE WHEN key IN {_KINDS} THEN key END WHEN path = '$' THEN CASE WHEN child IS NULL THEN kind END ELSE nullif(regexp_extract(path, '[.](segments_info|nodes|links)$', 1), '') END,
-            CASE WHEN fullkey LIKE '%]' THEN key::INT END
+            CASE WHEN fullkey LIKE '%]' THEN key::INT END, base || substr(fullkey, 2)
         FROM (SELECT w.*, x.key, x.value, x.fullkey, x.path FROM w, json_tree(w.doc) x WHERE x.type = 'VARCHAR' AND left(ltrim(x.value ->> '$'), 1) IN ('{{', '[') AND json_valid(x.value ->> '$'))),
     c AS (SELECT record_id, ann_no, CASE WHEN fullkey = '$' THEN kind WHEN fullkey NOT LIKE '%]' THEN CASE WHEN key IN {_KINDS} THEN key END WHEN path = '$' THEN CASE WHEN child IS NULL THEN kind END ELSE nullif(regexp_extract(path, '[.](segments_info|nodes|links)$', 1), '') END kind,
-            CASE WHEN fullkey = '$' THEN coalesce(child, 0) WHEN fullkey LIKE '%]' THEN key::INT ELSE 0 END child_no
-        FROM (SELECT w.*, x.key, x.fullkey, x.path FROM w, json_tree(w.doc) x WHERE x.type = 'OBJECT'))
-    SELECT DISTINCT record_id, ann_no, kind, child_no FROM c WHERE kind IS NOT NULL"""
+            CASE WHEN fullkey = '$' THEN coalesce(child, 0) WHEN fullkey LIKE '%]' THEN key::INT ELSE 0 END child_no, base || substr(fullkey, 2) AS path, value::VARCHAR body
+        FROM (SELECT w.*, x.key, x.value, x.fullkey, x.path FROM w, json_tree(w.doc) x WHERE x.type = 'OBJECT'))"""
+
+
+def _fields(kind: str, numbers: list[tuple[str, str]], texts: list[str]) -> str:
+    columns = [f"TRY_CAST(json_extract_string(body, '$.{n}') AS {t}) {n}" for n, t in numbers] + [f"json_extract_string(body, '$.{n}') {n}" for n in texts]
+    return f"{_CHILDREN} SELECT DISTINCT record_id, ann_no, child_no, path, {', '.join(columns)} FROM c WHERE kind = '{kind}'"
 
 ORACLE = {
-    "p6_found": _CHILDREN,
+    "p6_found": f"{_CHILDREN} SELECT DISTINCT record_id, ann_no, kind, child_no FROM c WHERE kind IS NOT NULL",
+    "p6_children": f"{_CHILDREN} SELECT DISTINCT * FROM c WHERE kind IS NOT NULL",
+    "p6_segments": _fields("segments_info", [("id", "BIGINT"), ("category_id", "INT"), ("area", "BIGINT"), ("iscrowd", "INT")], []),
+    "p6_nodes": _fields("nodes", [("id", "BIGINT")], ["label"]),
+    "p6_links": _fields("links", [("s", "BIGINT"), ("r", "BIGINT")], ["pos"]),
     "p2_labels": f"SELECT term, count(*) nodes, count(DISTINCT graph_id) graphs FROM {_LABELS} GROUP BY term",
     "p2_categories": f"SELECT category_id, count(*) segments, count(DISTINCT image_id) images, sum(area)::BIGINT area FROM {_SEGMENTS} GROUP BY 1",
     "p2_found": f"""SELECT 'label' field_name, term key_value FROM {_LABELS} GROUP BY term
