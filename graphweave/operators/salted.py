@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.session import BROADCAST_ROWS, cut
+
 KINDS = ("count", "sum", "min", "max", "avg", "count_distinct")
 
 
@@ -33,8 +35,9 @@ def salted_aggregate(
     aggs: result name -> (kind, column), with kind one of count, sum, min, max, avg, count_distinct (column or list of
     columns; one such set of columns a call). Method: keys holding at least heavy_share of the rows get a salt of
     0..salts-1, drawn by hashing the row (with a count_distinct its columns, so that a value is in one salt and the
-    counts add up); a first stage aggregates by (key, salt), a second merges the partials by key. The salt depends on
-    the row alone, so a task run again draws the same.
+    counts add up; without one also the row's partition, which is free as partials of any rows add up); a first stage
+    aggregates by (key, salt), a second merges the partials by key. df is read twice (for the heavy keys and for the
+    result): where it is dear to compute, give it cut.
 
     Nulls: a null key is a key of its own; null values are ignored as in SQL (count of a column counts its non-null
     values, count with None counts rows). Ties and repeated rows count as they stand. An empty table gives no rows."""
@@ -47,13 +50,14 @@ def salted_aggregate(
     used = sorted({c for _, x in aggs.values() if x for c in ([x] if isinstance(x, str) else x)} - set(keys))
     rows = df.select(*keys, *used)
     by = list(next(iter(distinct))) if distinct else list(rows.columns)
-    heavy = heavy_keys(rows, keys, heavy_share)
+    heavy = cut(heavy_keys(rows, keys, heavy_share))
+    small = heavy.count() <= BROADCAST_ROWS
     renamed = {k: f"__h_{i}" for i, k in enumerate(keys)}
     heavy = heavy.select(*[F.col(k).alias(renamed[k]) for k in keys], F.lit(True).alias("__heavy"))
     spread = F.pmod(F.xxhash64(F.lit(7), *[F.col(f"l.{c}") for c in by]), F.lit(salts))
     if not distinct:  # repeated rows are spread too: their partition is part of the draw and partials only add up
         spread = F.pmod(F.xxhash64(F.lit(7), F.spark_partition_id(), *[F.col(f"l.{c}") for c in by]), F.lit(salts))
-    salted = rows.alias("l").join(F.broadcast(heavy.alias("h")), _null_safe(keys, renamed), "left").select(
+    salted = rows.alias("l").join(F.broadcast(heavy.alias("h")) if small else heavy.alias("h"), _null_safe(keys, renamed), "left").select(
         *[F.col(f"l.{c}") for c in rows.columns],
         F.when(F.col("__heavy"), spread).otherwise(F.lit(0)).alias("__salt"),
     )

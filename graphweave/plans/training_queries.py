@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphweave.functions.terms import term
 from graphweave.operators.nested import child_tables, flatten, nested_children
 from graphweave.operators.salted import salted_aggregate
+from graphweave.session import cut
 
 #: Share of the rows from which p2_found names a key.
 HOT = 0.05
@@ -16,14 +17,14 @@ HOT = 0.05
 def _label_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row per node and term: deliveries of a node count once."""
     nodes = spark.read.parquet(f"{d}/nodes.parquet").select("graph_id", "node_id", term("label").alias("term"))
-    return nodes.where(F.col("term").isNotNull()).dropDuplicates(["graph_id", "node_id", "term"])
+    return cut(nodes.where(F.col("term").isNotNull()).dropDuplicates(["graph_id", "node_id", "term"]))
 
 
 def _segment_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row per segment with a category: deliveries of a segment count once."""
     rows = spark.read.parquet(f"{d}/panoptic.parquet").select("image_id", F.explode("segments_info").alias("x"))
     rows = rows.select("image_id", F.col("x.id").alias("segment_id"), F.col("x.category_id").alias("category_id"), F.col("x.area").alias("area"))
-    return rows.where(F.col("category_id").isNotNull()).groupBy("image_id", "segment_id", "category_id").agg(F.max("area").alias("area"))
+    return cut(rows.where(F.col("category_id").isNotNull()).groupBy("image_id", "segment_id", "category_id").agg(F.max("area").alias("area")))
 
 
 def p2_labels(spark: SparkSession, d: str) -> DataFrame:
