@@ -13,8 +13,8 @@ from graphweave.session import cut
 BLOCKS = 10_000
 #: Blocks for each shard, if these are more.
 BLOCKS_A_SHARD = 8
-#: Items of a shard, in which one task selects.
-SHARD_ITEMS = 20_000
+#: Items of a shard, in which one task selects, and the most shards of a source, whatever its size: what the driver handles is bounded by both.
+SHARD_ITEMS, MAX_SHARDS = 20_000, 4096
 
 
 def sainte_lague(weights: dict, seats: int, caps: dict | None = None) -> dict:
@@ -42,7 +42,7 @@ def mix(sizes: DataFrame, targets: DataFrame, *, item: str = "doc_id", tokens: s
     capped source can't take goes to the others. A source's blocks are given to its shards in the same way by their
     sizes; each shard is taken whole as often as its quota holds it, and once more as far as its seeded order reaches
     the rest, the item at the border being taken if that comes nearer to the quota. Only a count and a size a source
-    and shard go to the driver.
+    and shard go to the driver, at most MAX_SHARDS a source.
 
     Items with null source, null item or null or no size are never drawn (their size is 0); each repeated row is an
     item of its own; absent sources and empty tables give a report with 0. A null weight counts as 0."""
@@ -55,7 +55,7 @@ def mix(sizes: DataFrame, targets: DataFrame, *, item: str = "doc_id", tokens: s
     total = docs.agg(F.sum("tokens")).first()[0] or 0
     number = F.lit(1)
     for s, (n, _) in by_source.items():
-        number = F.when(F.col("source") == s, F.lit(max(1, -(-n // SHARD_ITEMS)))).otherwise(number)
+        number = F.when(F.col("source") == s, F.lit(min(MAX_SHARDS, max(1, -(-n // SHARD_ITEMS))))).otherwise(number)
     docs = docs.where(F.col("source").isin(list(by_source))).withColumn("shard", F.pmod(F.xxhash64("item", "row", F.lit(seed)), number).cast("int"))
     shards = {}
     for r in docs.groupBy("source", "shard").agg(F.sum("tokens").alias("t")).collect():
@@ -91,7 +91,7 @@ def mix(sizes: DataFrame, targets: DataFrame, *, item: str = "doc_id", tokens: s
                 if wanted > 0:
                     quotas.append((int(m), s, int(shard), float(wanted), int(own[shard]), limit))
     quota = spark.createDataFrame(quotas, "mix_id int, source string, shard int, quota double, supply long, cap int")
-    # a quota a shard and mix: their number is that of the items over SHARD_ITEMS
+    # a quota a shard and mix: at most MAX_SHARDS a source and mix
     cells = docs.join(F.broadcast(quota) if len(quotas) <= 100_000 else quota, ["source", "shard"])
     order = Window.partitionBy("mix_id", "source", "shard").orderBy(F.xxhash64("row", "item", "mix_id", F.lit(seed)), "row")
     passes = F.floor(F.col("quota") / F.col("supply"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.session import cut
+from graphweave.session import cut, lookup
 
 #: Items of a shard, which one task packs; a first pass packs shards on their own, later passes merge their half-empty containers.
 SHARD_ITEMS = 4000
@@ -23,7 +23,8 @@ MERGE_PASSES = 3
 class Limits:
     """What a container holds besides its tokens: documents, and attention cost (sum of squared piece lengths), as shares of what its capacity suggests.
 
-    docs_per_token: at most max(1, capacity * docs_per_token) pieces with tokens. attention: at most capacity ** 2 * attention."""
+    docs_per_token: at most max(1, capacity * docs_per_token) pieces with tokens. attention: at most capacity ** 2 * attention;
+    a piece whose own cost is above that is alone in its container, as it may not be cut."""
 
     docs_per_token: float = 1.0
     attention: float = 1.0
@@ -75,39 +76,29 @@ def pack(sizes: DataFrame, jobs: DataFrame, *, item: str = "doc_id", tokens: str
 
     jobs has rows (job_id, source, capacity_tokens); a null source takes all items, one without items gives no rows. An
     item is cut only if it exceeds the capacity: into full pieces, each alone in a container, and a remainder. No
-    container exceeds the capacity, the number of pieces or the attention cost of the limits. Items of size 0 get a
-    piece of size 0. Null sizes count as 0; rows with null item are ignored; each repeated row is an item of its own.
-    A job with null or non-positive capacity gives no rows; empty tables give no rows.
+    container exceeds the capacity; none with more than one piece exceeds the number of pieces or the attention cost of
+    the limits. Items of size 0 get a piece of size 0, which counts under no limit. Null sizes count as 0; rows with null item
+    are ignored; each repeated row is an item of its own. A job with null or non-positive capacity gives no rows; empty
+    tables give no rows.
 
     Method: items are spread over shards by hash, each shard is packed by vector best-fit; containers left half-empty
     are then taken as items themselves and packed across shards, so the loss doesn't grow with the number of shards."""
-    spark = sizes.sparkSession
-    docs = sizes.select(F.col(item).alias("item"), F.col(source).alias("source"), F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("bigint").alias("tokens")).where(F.col("item").isNotNull())
-    jobs = jobs.select("job_id", F.col("source").alias("job_source"), F.col("capacity_tokens").cast("bigint").alias("capacity")).where("capacity > 0").distinct()
-    # few jobs: each takes its rows by one scan, none is joined on the skewed source
-    wanted = [(r["job_id"], r["job_source"], r["capacity"]) for r in jobs.collect()]
-    if not wanted:
-        return spark.createDataFrame([], f"job_id int, container_id string, {item} {sizes.schema[item].dataType.simpleString()}, piece_no int, start_token bigint, n_tokens bigint")
-    choices = F.array(*[
-        F.when(F.lit(s is None) | (F.col("source") == F.lit(s)), F.struct(F.lit(j).cast("int").alias("job_id"), F.lit(c).cast("bigint").alias("capacity"))) for j, s, c in wanted
-    ])
-    rows = docs.select("item", "tokens", F.explode(F.filter(choices, lambda x: x.isNotNull())).alias("j")).select("item", "tokens", "j.job_id", "j.capacity")
+    docs = sizes.select(F.col(item).alias("item"), F.col(source).cast("string").alias("source"), F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("bigint").alias("tokens")).where(F.col("item").isNotNull())
+    key = F.when(F.col("source").isNull(), "*").otherwise(F.concat(F.lit("="), "source"))
+    jobs = cut(jobs.select(F.col("job_id").cast("int").alias("job_id"), key.alias("of"), F.col("capacity_tokens").cast("bigint").alias("capacity")).where("capacity > 0").distinct())
+    n_jobs = jobs.count()
+    rows = docs.select("item", "tokens", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), "source"))).alias("of")).where(F.col("of").isNotNull())
+    rows = lookup(rows, jobs, ["of"], n_jobs)
     whole = F.floor(F.col("tokens") / F.col("capacity")).cast("int")
     full = F.transform(F.sequence(F.lit(1), whole), lambda k: F.struct((k - 1).alias("piece_no"), F.col("capacity").alias("n_tokens")))
     rest = F.array(F.struct(whole.alias("piece_no"), (F.col("tokens") - whole * F.col("capacity")).alias("n_tokens")))
     none = F.array().cast("array<struct<piece_no:int,n_tokens:bigint>>")
     pieces = F.concat(F.when(whole > 0, full).otherwise(none), F.when((F.col("tokens") > whole * F.col("capacity")) | (whole == 0), rest).otherwise(none))
     pieces = rows.select("job_id", "capacity", "item", F.explode(pieces).alias("p")).select("job_id", "capacity", "item", "p.piece_no", "p.n_tokens")
-    alone = pieces.where(F.col("n_tokens") == F.col("capacity"))
-    loose = pieces.where(F.col("n_tokens") < F.col("capacity"))
-    counts = {r["job_id"]: r["count"] for r in loose.groupBy("job_id").count().collect()}
-
-    def shards(n: dict[int, int]) -> F.Column:
-        number = F.lit(1)
-        for j, k in n.items():
-            number = F.when(F.col("job_id") == j, F.lit(max(1, -(-k // SHARD_ITEMS)))).otherwise(number)
-        return number
-
+    tokens_ = F.col("n_tokens").cast("double")
+    pieces = pieces.withColumn("cost", tokens_ * tokens_)
+    large = (F.col("n_tokens") == F.col("capacity")) | (F.col("cost") > F.col("capacity").cast("double") * F.col("capacity") * limits.attention)
+    alone, loose = pieces.where(large), pieces.where(~large)
     weights = np.array(limits.weights)
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,23 +112,23 @@ def pack(sizes: DataFrame, jobs: DataFrame, *, item: str = "doc_id", tokens: str
     schema = "job_id int, capacity bigint, unit string, tokens bigint, docs bigint, cost double, bin string"
     item_key = F.concat_ws(":", F.col("item").cast("string"), F.col("piece_no"), F.monotonically_increasing_id())
     loose = cut(loose.withColumn("unit", item_key))
-    units = loose.select("job_id", "capacity", "unit", F.col("n_tokens").alias("tokens"), F.lit(1).cast("bigint").alias("docs"), (F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("cost"))
-    # least loss first: a part of the attention limit that a single piece exceeds can't bind it
-    units = units.withColumn("cost", F.least("cost", F.col("capacity").cast("double") * F.col("capacity") * limits.attention))
-    placed, n, level = None, counts, 0
+    units = loose.select("job_id", "capacity", "unit", F.col("n_tokens").alias("tokens"), (F.col("n_tokens") > 0).cast("bigint").alias("docs"), "cost")
+    placed = None
     for level in range(1 + MERGE_PASSES):
-        hashed = units.withColumn("hash", F.xxhash64("unit", F.lit(level)))
-        hashed = hashed.withColumn("level", F.lit(level)).withColumn("shard", F.pmod("hash", shards(n)).cast("int"))
+        shards = units.groupBy("job_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SHARD_ITEMS)).cast("int").alias("shards"))
+        shards = cut(shards)
+        most = shards.agg(F.max("shards")).first()[0]
+        if most is None and placed is not None:
+            break
+        hashed = lookup(units.withColumn("hash", F.xxhash64("unit", F.lit(level))), shards, ["job_id"], n_jobs)
+        hashed = hashed.withColumn("level", F.lit(level)).withColumn("shard", F.pmod("hash", "shards").cast("int")).drop("shards")
         bins = cut(hashed.groupBy("job_id", "level", "shard").applyInPandas(packed, schema))
         step = bins.select("job_id", F.col("unit").alias("lower"), "bin")
         placed = step.select("job_id", F.col("lower").alias("unit"), "bin") if placed is None else _lift(placed, step)
-        if max(shards_of(n).values(), default=1) <= 1 or level == MERGE_PASSES:
+        if (most or 1) <= 1 or level == MERGE_PASSES:
             break
         fill = bins.groupBy("job_id", "capacity", F.col("bin").alias("unit")).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"), F.sum("cost").alias("cost"))
         units = cut(fill.where(F.col("tokens") < F.col("capacity") * REOPEN_BELOW))
-        n = {r["job_id"]: r["count"] for r in units.groupBy("job_id").count().collect()}
-        if not n:
-            break
     first = loose.select("job_id", "capacity", "item", "piece_no", "n_tokens", "unit").join(placed, ["job_id", "unit"])
     out = first.select("job_id", "capacity", F.col("bin").alias("container_id"), "item", "piece_no", "n_tokens")
     lone = alone.select("job_id", "capacity", F.concat_ws("-", F.lit("full"), F.col("item").cast("string"), F.col("piece_no"), F.monotonically_increasing_id()).alias("container_id"), "item", "piece_no", "n_tokens")
@@ -145,20 +136,28 @@ def pack(sizes: DataFrame, jobs: DataFrame, *, item: str = "doc_id", tokens: str
     return both.select("job_id", "container_id", F.col("item").alias(item), "piece_no", (F.col("piece_no") * F.col("capacity")).alias("start_token"), "n_tokens")
 
 
-def shards_of(n: dict[int, int]) -> dict[int, int]:
-    return {j: max(1, -(-k // SHARD_ITEMS)) for j, k in n.items()}
-
-
 def _lift(placed: DataFrame, step: DataFrame) -> DataFrame:
     """Items in containers, these in containers of the next pass where they were taken up again."""
     upper = step.select("job_id", F.col("lower").alias("bin"), F.col("bin").alias("__upper"))
     return placed.join(upper, ["job_id", "bin"], "left").select("job_id", "unit", F.coalesce("__upper", "bin").alias("bin"))
 
 
-def pack_report(packed: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(job_id, capacity_tokens, containers, pieces, tokens, fill, least_containers) of each job with containers."""
-    bins = packed.groupBy("job_id", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
-    total = bins.groupBy("job_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
-    out = total.join(jobs.select("job_id", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")), "job_id")
+def pack_report(packed: DataFrame, jobs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(job_id, capacity_tokens, containers, pieces, tokens, fill, least_containers, docs_fill, attention_fill, alone_above, over) of each job with containers.
+
+    docs_fill and attention_fill are the shares used of the other limits (of all containers together). alone_above counts the
+    single pieces whose own attention cost is above the limit; over the containers that exceed a limit otherwise (always 0)."""
+    capacity = jobs.select("job_id", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).where("capacity_tokens > 0").distinct()
+    cost = F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens"))
+    bins = packed.groupBy("job_id", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.count(F.when(F.col("n_tokens") > 0, 1)).alias("docs"), cost.alias("cost"))
+    most = F.greatest(F.lit(1.0), F.floor(F.col("capacity_tokens") * F.lit(limits.docs_per_token)).cast("double"))
+    dearest = F.col("capacity_tokens").cast("double") * F.col("capacity_tokens") * F.lit(limits.attention)
+    bins = lookup(bins, capacity, ["job_id"], capacity.count()).withColumn("most", most).withColumn("dearest", dearest)
+    above = F.col("cost") > F.col("dearest") * (1 + 1e-9)
+    over = (F.col("tokens") > F.col("capacity_tokens")) | (F.col("docs") > F.col("most")) | (above & (F.col("docs") > 1))
+    total = bins.groupBy("job_id", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), (F.sum("docs") / F.sum("most")).alias("docs_fill"),
+        (F.sum("cost") / F.sum("dearest")).alias("attention_fill"), F.count(F.when(above & (F.col("docs") <= 1), 1)).alias("alone_above"), F.count(F.when(over, 1)).alias("over"),
+    )
     fill = F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))
-    return out.select("job_id", "capacity_tokens", "containers", "pieces", "tokens", fill.alias("fill"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"))
+    return total.select("job_id", "capacity_tokens", "containers", "pieces", "tokens", fill.alias("fill"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"), "docs_fill", "attention_fill", "alone_above", "over")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from graphweave.functions.terms import term
 from graphweave.llm.cooccur import cooccurrences
 from graphweave.llm.mixing import mix
-from graphweave.llm.packing import pack, pack_report
+from graphweave.llm.packing import Limits, pack, pack_report
 from graphweave.llm.setjoin import record_pairs, similar_records
 from graphweave.llm.spans import SharedSpans
 from graphweave.llm.subset import choose_varied
 from graphweave.llm.termfreq import mark_terms, record_term_frequencies, unite_deliveries
 from graphweave.llm.tokens import token_sizes
+from graphweave.session import cut
 
 #: p1_found: least graphs with both items, and least lift.
 MIN_TOGETHER, MIN_LIFT = 5, 3
@@ -21,6 +22,8 @@ MIN_TOGETHER, MIN_LIFT = 5, 3
 MIN_TERMS, SIMILARITY = 6, 0.6
 #: p4_found: most records of a rare term, least share of a common one.
 RARE, COMMON = 2, 0.2
+#: p7_limits: documents and attention cost a container may hold, binding on these texts.
+LIMITS = Limits(docs_per_token=1 / 256, attention=0.5)
 #: p9_found: least characters of a span.
 SPAN = 250
 
@@ -86,6 +89,17 @@ def p5_subset(spark: SparkSession, d: str) -> DataFrame:
     return choose_varied(_patterns(spark, d), spark.read.parquet(f"{d}/subset_jobs.parquet"), record="pattern_id", group="run_name", members="members").withColumnRenamed("record", "pattern_id")
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """(job_id, chosen, foreign, twice) of each job: patterns chosen, those of another run or unknown, those chosen twice."""
+    jobs = spark.read.parquet(f"{d}/subset_jobs.parquet")
+    picks = p5_subset(spark, d).select("job_id", F.col("run_name").alias("run"), "pattern_id")
+    known = _patterns(spark, d).select(F.col("run_name").alias("r"), F.col("pattern_id").alias("p")).distinct()
+    rows = picks.join(known, F.col("run").eqNullSafe(F.col("r")) & F.col("pattern_id").eqNullSafe(F.col("p")), "left")
+    rows = rows.join(F.broadcast(jobs.select("job_id", F.col("run_name").alias("wanted"), F.lit(True).alias("named"))), "job_id", "left")
+    wrong = F.col("named").isNull() | F.col("r").isNull() & F.col("p").isNull() & (F.col("run").isNotNull() | F.col("pattern_id").isNotNull()) | F.col("wanted").isNotNull() & ~F.col("wanted").eqNullSafe(F.col("run"))
+    return rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("chosen"), F.count(F.when(wrong, 1)).alias("foreign"), (F.count(F.lit(1)) - F.count_distinct(F.struct("run", "pattern_id"))).alias("twice"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")
     return token_sizes(docs, "text", ["doc_id", "source"])
@@ -100,6 +114,21 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return pack_report(pack(_sizes(spark, d), jobs), jobs)
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    jobs = spark.read.parquet(f"{d}/pack_jobs.parquet")
+    return pack_report(pack(_sizes(spark, d), jobs, limits=LIMITS), jobs, LIMITS)
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """(job_id, documents, wrongly_cut, over) of packing under LIMITS: documents placed, those cut although they fit, containers above a limit."""
+    jobs = spark.read.parquet(f"{d}/pack_jobs.parquet")
+    packed = cut(pack(_sizes(spark, d), jobs, limits=LIMITS))
+    capacity = jobs.select("job_id", F.col("capacity_tokens").alias("capacity"))
+    docs = packed.groupBy("job_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    docs = docs.join(F.broadcast(capacity), "job_id").groupBy("job_id").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))), 1)).alias("wrongly_cut"))
+    return docs.join(pack_report(packed, jobs, LIMITS).select("job_id", "over"), "job_id")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sizes(spark, d), spark.read.parquet(f"{d}/mix_targets.parquet"))[0]
 
@@ -108,6 +137,21 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sizes(spark, d), spark.read.parquet(f"{d}/mix_targets.parquet"))[1]
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """(mix_id, source, target_share, foreign, above_cap, twice) of each mix and source: drawn documents of another source, drawn more often than the cap, or in two rows."""
+    targets = spark.read.parquet(f"{d}/mix_targets.parquet").where(F.col("source").isNotNull())
+    drawn, report = mix(_sizes(spark, d), targets)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("source").alias("own"))
+    caps = targets.groupBy("mix_id", "source").agg(F.max("max_repeats").alias("cap"))
+    rows = drawn.join(docs, "doc_id").join(F.broadcast(caps), ["mix_id", "source"])
+    counts = rows.groupBy("mix_id", "source").agg(
+        F.count(F.when(~F.col("own").eqNullSafe(F.col("source")), 1)).alias("foreign"), F.count(F.when(F.col("copies") > F.col("cap"), 1)).alias("above_cap"),
+        (F.count(F.lit(1)) - F.countDistinct("doc_id")).alias("twice"),
+    )
+    out = report.select("mix_id", "source", "target_share").join(counts, ["mix_id", "source"], "left")
+    return out.select("mix_id", "source", F.round("target_share", 9).alias("target_share"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("foreign", "above_cap", "twice")])
+
+
 def _shared(spark: SparkSession, d: str) -> SharedSpans:
     return SharedSpans(spark.read.parquet(f"{d}/documents.parquet"), min_len=SPAN)
 
@@ -128,8 +172,8 @@ QUERIES = {
     "p1_found": p1_found, "p1_cooccurrence": p1_cooccurrence,
     "p3_found": p3_found, "p3_members": p3_members, "p3_links": p3_links,
     "p4_found": p4_found, "p4_frequencies": p4_frequencies,
-    "p5_subset": p5_subset,
-    "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report,
+    "p5_subset": p5_subset, "p5_check": p5_check,
+    "p7_pack": p7_pack, "p7_report": p7_report, "p7_limits": p7_limits, "p7_check": p7_check, "p8_mix": p8_mix, "p8_report": p8_report, "p8_check": p8_check,
     "p9_found": p9_found, "p9_shares": p9_shares, "p9_passages": p9_passages,
 }
 
@@ -167,6 +211,12 @@ ORACLE["p3_members"] = f"""WITH {_CLASSES}, d AS (SELECT x, count(*) k FROM (SEL
 ORACLE["p9_found"] = f"""WITH s AS (SELECT DISTINCT doc_id, hash(substring(text, i, {SPAN})) h FROM documents, unnest(range(1, length(text) - {SPAN} + 2)) u(i) WHERE length(text) >= {SPAN}),
     k AS (SELECT s.* FROM s JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h))
     SELECT DISTINCT a.doc_id doc_a, b.doc_id doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id"""
+# what any right answer must have: sizes and no faults
+ORACLE["p5_check"] = """WITH k AS (SELECT DISTINCT run_name, g.graph.name p FROM sgs), j AS (SELECT DISTINCT job_id, run_name, subset_size FROM subset_jobs WHERE subset_size > 0)
+    SELECT job_id, least(any_value(subset_size), count(*)) chosen, 0 AS foreign, 0 twice FROM j JOIN k ON j.run_name IS NULL OR j.run_name = k.run_name GROUP BY job_id"""
+ORACLE["p7_check"] = """SELECT job_id, count(DISTINCT doc_id) documents, 0 wrongly_cut, 0 AS over FROM pack_jobs j JOIN documents d ON j.source IS NULL OR j.source = d.source WHERE capacity_tokens > 0 GROUP BY job_id"""
+ORACLE["p8_check"] = """SELECT mix_id, source, round(sum(coalesce(weight, 0)) / sum(sum(coalesce(weight, 0))) OVER (PARTITION BY mix_id), 9) target_share, 0 AS foreign, 0 above_cap, 0 twice
+    FROM mix_targets WHERE source IS NOT NULL GROUP BY mix_id, source"""
 ORACLE["p9_shares"] = f"""WITH s AS (SELECT doc_id, i, hash(substring(text, i, {SPAN})) h FROM documents, unnest(range(1, length(text) - {SPAN} + 2)) u(i) WHERE length(text) >= {SPAN}),
     k AS (SELECT h FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
     f AS (SELECT doc_id, least({SPAN}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {SPAN})) n FROM s JOIN k USING (h)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.session import cut, lookup
+from graphweave.session import cut, lookup, parallelism
 
 #: Dimensions of the random projection of a record's set of members.
 DIMS = 64
@@ -21,8 +23,11 @@ LEAVES, LEAVES_A_GROUP = 512, 4
 BRANCHES = 24
 #: Trees merged by one task.
 FAN_IN = 16
-#: Most groups that are formed; Ward linkage holds a matrix of (LEAVES_A_GROUP * MAX_GROUPS) ** 2. A larger subset is filled up.
-MAX_GROUPS = 2000
+#: Most groups formed by one linkage, which holds a matrix of (LEAVES_A_GROUP * MAX_GROUPS) ** 2. A larger subset is
+#: first divided into coarse groups that need about PART_GROUPS each.
+MAX_GROUPS, PART_GROUPS = 2000, 200
+#: Points inserted at once.
+BATCH = 4096
 
 _MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -90,6 +95,46 @@ class CFTree:
         if self.leaves > self.max_leaves:
             self._rebuild()
 
+    def insert_all(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
+        """Many clusters at once: those that leaf entries absorb within the threshold go there by one product of matrices, the others one by one."""
+        for at in range(0, len(n), BATCH):
+            m, x, y = n[at : at + BATCH], ls[at : at + BATCH], ss[at : at + BATCH]
+            rest = np.ones(len(m), bool)
+            if self.leaves > 1 and self.threshold > 0:
+                nodes = self._leaf_nodes()
+                owner = np.repeat(np.arange(len(nodes)), [k.count for k in nodes])
+                slot = np.concatenate([np.arange(k.count) for k in nodes])
+                en, els, ess = (np.concatenate([getattr(k, f)[: k.count] for k in nodes]) for f in ("n", "ls", "ss"))
+                c = els / en[:, None]
+                near = ((c * c).sum(axis=1)[None] - 2 * (x / m[:, None]) @ c.T).argmin(axis=1)
+                more_n, more_ls, more_ss = np.bincount(near, m, len(en)), np.zeros_like(els), np.bincount(near, y, len(en))
+                np.add.at(more_ls, near, x)
+                sum_n, sum_ls = en + more_n, els + more_ls
+                fits = (ess + more_ss) / sum_n - (sum_ls * sum_ls).sum(axis=1) / (sum_n * sum_n) <= self.threshold + 1e-12
+                rest = ~fits[near]
+                for i in np.unique(near[~rest]):
+                    node, k = nodes[owner[i]], slot[i]
+                    node.n[k], node.ls[k], node.ss[k] = sum_n[i], sum_ls[i], ess[i] + more_ss[i]
+                self._refresh(self.root)
+            for i in np.flatnonzero(rest):
+                self.insert(float(m[i]), x[i], float(y[i]))
+
+    def _leaf_nodes(self) -> list[_Node]:
+        found, work = [], [self.root]
+        while work:
+            node = work.pop()
+            if node.leaf:
+                found.append(node)
+            else:
+                work.extend(node.children)
+        return found
+
+    def _refresh(self, node: _Node) -> tuple:
+        if not node.leaf:
+            for i, child in enumerate(node.children):
+                node.n[i], node.ls[i], node.ss[i] = self._refresh(child)
+        return node.total()
+
     def _insert(self, node: _Node, n: float, ls: np.ndarray, ss: float) -> _Node | None:
         x = ls / n
         if node.count:
@@ -127,14 +172,7 @@ class CFTree:
         return other
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found, work = [], [self.root]
-        while work:
-            node = work.pop()
-            if node.leaf:
-                found.append((node.n[: node.count], node.ls[: node.count], node.ss[: node.count]))
-            else:
-                work.extend(node.children)
-        return tuple(np.concatenate(x) for x in zip(*found))
+        return tuple(np.concatenate([getattr(k, f)[: k.count] for k in self._leaf_nodes()]) for f in ("n", "ls", "ss"))
 
     def _rebuild(self) -> None:
         n, ls, ss = self.entries()
@@ -184,7 +222,112 @@ def ward_groups(n: np.ndarray, ls: np.ndarray, k: int) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
-_CF_DDL = "job_id int, part int, n double, ls array<double>, ss double"
+_CF_DDL = "cell int, part int, n double, ls array<double>, ss double"
+
+
+def quotas(scatter: dict[int, float], supply: dict[int, int], seats: int) -> dict[int, int]:
+    """Seats of each part of a job: one each, the others by the root of its scatter (highest quotients), none above its supply."""
+    got = {k: 1 for k in supply}
+    weight = {k: max(scatter.get(k, 0.0), 1e-12) ** 0.5 for k in supply}
+    heap = [(-weight[k] / 3, k) for k in supply if supply[k] > 1]
+    heapq.heapify(heap)
+    left = seats - len(got)
+    while left > 0 and heap:
+        _, k = heapq.heappop(heap)
+        got[k] += 1
+        left -= 1
+        if got[k] < supply[k]:
+            heapq.heappush(heap, (-weight[k] / (2 * got[k] + 1), k))
+    return got
+
+
+def _vectors(b: pa.RecordBatch, dims: int) -> np.ndarray:
+    m = b.column("members")
+    return project(m.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.diff(m.offsets.to_numpy()).astype(np.int64), dims)
+
+
+def _by_cell(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Cells of a batch with their rows."""
+    cells = b.column("cells")
+    row, flat = np.repeat(np.arange(b.num_rows), np.diff(cells.offsets.to_numpy())), cells.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0])) if len(flat) else []
+    for i, j in zip(first, [*first[1:], len(flat)]):
+        yield int(flat[order[i]]), row[order[i:j]]
+
+
+class _Centres:
+    """Finds group centres of cells (sets of records) by cluster-feature trees, and the nearest centre of each record."""
+
+    def __init__(self, spark, dims: int):
+        self.spark, self.dims = spark, dims
+
+    def find(self, rows: DataFrame, groups: dict[int, int], floor: int) -> dict[int, np.ndarray]:
+        """Centres of each cell: the number wanted, or fewer where it has fewer different records. rows: members, cells."""
+        dims, limit = self.dims, {c: max(floor, LEAVES_A_GROUP * k) for c, k in groups.items()}
+
+        def dump(c: int, tree: CFTree, part: int) -> pd.DataFrame:
+            n, ls, ss = tree.entries()
+            return pd.DataFrame({"cell": np.int32(c), "part": np.int32(part), "n": n, "ls": list(ls), "ss": ss})
+
+        def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trees: dict[int, CFTree] = {}
+            for b in batches:
+                x = _vectors(b, dims)
+                for c, at in _by_cell(b):
+                    if c in limit:
+                        points, n = np.unique(x[at], axis=0, return_counts=True)
+                        trees.setdefault(c, CFTree(dims, limit[c])).insert_all(n.astype(float), points * n[:, None], (points * points).sum(axis=1) * n)
+            for c, t in trees.items():
+                yield pa.RecordBatch.from_pandas(dump(c, t, TaskContext.get().partitionId()), preserve_index=False)
+
+        def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            tree = CFTree(dims, limit[int(key[0])])
+            tree.insert_all(pdf["n"].to_numpy(), np.stack(pdf["ls"].to_list()), pdf["ss"].to_numpy())
+            return dump(int(key[0]), tree, int(key[1]))
+
+        parts = cut(rows.select("members", "cells").mapInArrow(summarise, _CF_DDL))
+        last = parts.agg(F.max("part")).first()[0] or 0
+        while last > 0:
+            parts = cut(parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("cell", "part").applyInPandas(merge, _CF_DDL))
+            last //= FAN_IN
+
+        def linkage(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            n, ls = pdf["n"].to_numpy(), np.stack(pdf["ls"].to_list())
+            order = np.lexsort((*ls.T[::-1], -n))
+            n, ls = n[order], ls[order]
+            g = ward_groups(n, ls, min(groups[int(key[0])], len(n)))
+            size, sums = np.bincount(g, n), np.zeros((g.max() + 1, dims))
+            np.add.at(sums, g, ls)
+            return pd.DataFrame({"cell": np.int32(key[0]), "centre": np.arange(len(size), dtype=np.int32), "c": list(sums / size[:, None])})
+
+        # a centre a record wanted: their number is the sum of the jobs' sizes
+        found = parts.groupBy("cell").applyInPandas(linkage, "cell int, centre int, c array<double>").collect()
+        out: dict[int, list] = {}
+        for r in sorted(found, key=lambda r: (r["cell"], r["centre"])):
+            out.setdefault(r["cell"], []).append(r["c"])
+        return {c: np.array(x) for c, x in out.items()}
+
+    def nearest(self, rows: DataFrame, centres: dict[int, np.ndarray], keep: list[str]) -> DataFrame:
+        """A row (cell, keep, centre, d) for each record and cell with centres."""
+        shared, dims = self.spark.sparkContext.broadcast(centres), self.dims
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = _vectors(b, dims)
+                for cell, at in _by_cell(b):
+                    c = shared.value.get(cell)
+                    if c is None:
+                        continue
+                    d = np.maximum(0, (x[at] ** 2).sum(axis=1)[:, None] - 2 * x[at] @ c.T + (c**2).sum(axis=1)[None])
+                    near, pick = d.argmin(axis=1), pa.array(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), cell, np.int32)), *(b.column(k).take(pick) for k in keep), pa.array(near.astype(np.int32)), pa.array(np.round(d[np.arange(len(at)), near], 9))],
+                        names=["cell", *keep, "centre", "d"],
+                    )
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+        return rows.select(*dict.fromkeys([*keep, "members", "cells"])).mapInArrow(assign, f"cell int, {kinds}, centre int, d double")
 
 
 def choose_varied(df: DataFrame, jobs: DataFrame, *, record: str, group: str, members: str, dims: int = DIMS) -> DataFrame:
@@ -197,108 +340,66 @@ def choose_varied(df: DataFrame, jobs: DataFrame, *, record: str, group: str, me
     Method: sets become unit vectors by a random projection. Each task inserts its vectors into a cluster-feature tree
     per job, whose leaf entries are all that leaves it; trees are merged FAN_IN at a time into one; its entries are
     agglomerated by Ward linkage and cut at the wanted number of groups; each record goes to the nearest centre and the
-    nearest record of each centre is chosen, ties by the record's hash. What is missing then (a centre nearest to no
-    record, a size above MAX_GROUPS) is filled with the records farthest from their own centre, of other sets than
-    those chosen as long as there are any.
+    nearest record of each centre is chosen, ties by the record's hash. A size above MAX_GROUPS is reached in two steps:
+    the same method gives coarse groups, each gets its part of the size by the root of its scatter, and is then grouped
+    by the method on its own. Where a centre is nearest to no record (there are fewer different sets than wanted, or
+    rounding), the record farthest from its own centre is taken instead, of other sets than those chosen as long as
+    there are any. centre numbers the groups of a job.
 
     Null ids and groups are values of their own; repeated rows of a record count once (any of them is taken); null and
     empty sets are the zero vector; empty tables give no rows; other columns are ignored."""
     spark = df.sparkSession
     plan = [(int(r["job_id"]), r["run_name"], int(r["subset_size"])) for r in jobs.select("job_id", "run_name", "subset_size").distinct().collect() if r["subset_size"] and r["subset_size"] > 0]
     kinds = {c: df.schema[c].dataType.simpleString() for c in (record, group)}
-    schema = f"job_id int, run_name {kinds[group]}, record {kinds[record]}, centre int, group_size bigint"
     if not plan:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"job_id int, run_name {kinds[group]}, record {kinds[record]}, centre int, group_size bigint")
     rows = df.select(F.col(group).alias("run_name"), F.col(record).alias("record"), F.col(members).cast("array<bigint>").alias("members"))
-    rows = rows.groupBy("run_name", "record").agg(F.max(F.coalesce("members", F.array().cast("array<bigint>"))).alias("members"))
+    # a number of partitions of its own: the steps that follow work much for each byte
+    rows = rows.repartition(parallelism(spark), "run_name", "record").groupBy("run_name", "record").agg(F.max(F.coalesce("members", F.array().cast("array<bigint>"))).alias("members"))
     choice = F.array(*[F.when(F.lit(run is None) | (F.col("run_name") == F.lit(run)), F.lit(j)) for j, run, _ in plan])
-    rows = rows.withColumn("jobs", F.filter(choice, lambda x: x.isNotNull())).where(F.size("jobs") > 0)
-    rows = cut(rows.withColumn("tie", F.xxhash64("run_name", "record")))
-    supply = {r["job_id"]: r["count"] for r in rows.select(F.explode("jobs").alias("job_id")).groupBy("job_id").count().collect()}
+    rows = rows.withColumn("cells", F.filter(choice, lambda x: x.isNotNull())).where(F.size("cells") > 0)
+    rows = cut(rows.select("run_name", "record", "members", "cells", F.xxhash64("run_name", "record").alias("tie"), F.xxhash64("members").alias("set_id")))
+    supply = {r["job_id"]: r["count"] for r in rows.select(F.explode("cells").alias("job_id")).groupBy("job_id").count().collect()}
     grouped = {j: k for j, _, k in plan if supply.get(j, 0) > k}
     whole = [j for j, _, k in plan if 0 < supply.get(j, 0) <= k]
-    out = rows.select(F.explode("jobs").alias("job_id"), "run_name", "record").where(F.col("job_id").isin(whole))
+    out = rows.select(F.explode("cells").alias("job_id"), "run_name", "record").where(F.col("job_id").isin(whole))
     out = out.select("job_id", "run_name", "record", F.lit(None).cast("int").alias("centre"), F.lit(1).cast("bigint").alias("group_size"))
     if not grouped:
         return out
-    limit = {j: max(LEAVES, LEAVES_A_GROUP * min(k, MAX_GROUPS)) for j, k in grouped.items()}
-
-    def vectors(b: pa.RecordBatch) -> np.ndarray:
-        m = b.column("members")
-        return project(m.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.diff(m.offsets.to_numpy()).astype(np.int64), dims)
-
-    def dump(trees: dict[int, CFTree], part: int) -> Iterator[pd.DataFrame]:
-        for j, t in trees.items():
-            n, ls, ss = t.entries()
-            yield pd.DataFrame({"job_id": np.int32(j), "part": np.int32(part), "n": n, "ls": list(ls), "ss": ss})
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = {j: CFTree(dims, m) for j, m in limit.items()}
-        used = set()
-        for b in batches:
-            x = vectors(b)
-            wanted = b.column("jobs").to_pylist()
-            by: dict[int, list[int]] = {}
-            for i, js in enumerate(wanted):
-                for j in js:
-                    if j in trees:
-                        by.setdefault(j, []).append(i)
-            for j, at in by.items():
-                points, n = np.unique(x[at], axis=0, return_counts=True)
-                used.add(j)
-                for p, c in zip(points, n):
-                    trees[j].insert(float(c), p * c, float(p @ p) * c)
-        for pdf in dump({j: t for j, t in trees.items() if j in used}, TaskContext.get().partitionId()):
-            yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
-
-    parts = cut(rows.select("members", "jobs").mapInArrow(summarise, _CF_DDL))
-
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = CFTree(dims, limit[int(key[0])])
-        for n, ls, ss in zip(pdf["n"], pdf["ls"], pdf["ss"]):
-            tree.insert(float(n), np.asarray(ls), float(ss))
-        return next(dump({int(key[0]): tree}, int(key[1])))
-
-    last = parts.agg(F.max("part")).first()[0] or 0
-    while last > 0:
-        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("job_id", "part").applyInPandas(merge, _CF_DDL)
-        last //= FAN_IN
-        parts = cut(parts)
-
-    def linkage(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, ls = pdf["n"].to_numpy(), np.stack(pdf["ls"].to_list())
-        order = np.lexsort((*ls.T[::-1], -n))
-        n, ls = n[order], ls[order]
-        g = ward_groups(n, ls, min(grouped[int(key[0])], MAX_GROUPS, len(n)))
-        size, sums = np.bincount(g, n), np.zeros((g.max() + 1, dims))
-        np.add.at(sums, g, ls)
-        return pd.DataFrame({"job_id": np.int32(key[0]), "centre": np.arange(len(size), dtype=np.int32), "c": list(sums / size[:, None])})
-
-    # a centre a record wanted: their number is the sum of the jobs' sizes
-    found = parts.groupBy("job_id").applyInPandas(linkage, "job_id int, centre int, c array<double>").collect()
-    centres = {j: np.array([r["c"] for r in sorted((r for r in found if r["job_id"] == j), key=lambda r: r["centre"])]) for j in grouped}
-    shared = spark.sparkContext.broadcast(centres)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = vectors(b)
-            wanted = b.column("jobs").to_pylist()
-            for j, c in shared.value.items():
-                at = np.array([i for i, js in enumerate(wanted) if j in js], np.int64)
-                if not len(at):
-                    continue
-                d = np.maximum(0, (x[at] ** 2).sum(axis=1)[:, None] - 2 * x[at] @ c.T + (c**2).sum(axis=1)[None])
-                near = d.argmin(axis=1)
-                pick = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), j, np.int32)), *(b.column(k).take(pick) for k in ("run_name", "record", "tie", "set_id")), pa.array(near.astype(np.int32)), pa.array(np.round(d[np.arange(len(at)), near], 9))],
-                    names=["job_id", "run_name", "record", "tie", "set_id", "centre", "d"],
-                )
-
-    named = rows.select("run_name", "record", "tie", F.xxhash64("members").alias("set_id"), "members", "jobs")
-    near = cut(named.mapInArrow(assign, f"job_id int, run_name {kinds[group]}, record {kinds[record]}, tie bigint, set_id bigint, centre int, d double"))
-    by = F.struct("d", "tie")
-    chosen = cut(near.groupBy("job_id", "centre").agg(F.min_by(F.struct("run_name", "record", "tie", "set_id"), by).alias("x"), F.count(F.lit(1)).alias("group_size")).select("job_id", "x.*", "centre", "group_size"))
+    work, keep = _Centres(spark, dims), ["run_name", "record", "tie", "set_id"]
+    small, large = {j: k for j, k in grouped.items() if k <= MAX_GROUPS}, {j: k for j, k in grouped.items() if k > MAX_GROUPS}
+    tables, job_of = [], {j: j for j in small}
+    if small:
+        tables.append(work.nearest(rows, work.find(rows, small, LEAVES), keep))
+    source, base = rows, max(j for j, _, _ in plan) + 1
+    while large:
+        coarse = cut(work.nearest(source, work.find(source, {c: min(MAX_GROUPS, max(2, -(-k // PART_GROUPS))) for c, k in large.items()}, LEAVES), [*keep, "members"]))
+        found = coarse.groupBy("cell", "centre").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("scatter")).collect()  # at most MAX_GROUPS rows a cell
+        numbers, groups, again = [], {}, {}
+        for c, k in large.items():
+            mine = sorted((r for r in found if r["cell"] == c), key=lambda r: r["centre"])
+            got = quotas({r["centre"]: r["scatter"] for r in mine}, {r["centre"]: r["n"] for r in mine}, k)
+            for r in mine:
+                numbers.append((c, r["centre"], base))
+                job_of[base] = job_of.get(c, c)
+                wanted = got[r["centre"]]
+                if wanted > MAX_GROUPS and len(mine) > 1:
+                    again[base] = wanted
+                else:  # a cell that can't be divided holds one point
+                    groups[base] = min(wanted, MAX_GROUPS)
+                base += 1
+        named = spark.createDataFrame(numbers, "cell int, centre int, number int")
+        source = cut(lookup(coarse.drop("d"), named, ["cell", "centre"], len(numbers)).select(*keep, "members", F.array("number").alias("cells")))
+        tables.append(work.nearest(source, work.find(source, groups, 1), keep))
+        large = again
+    near = functools.reduce(DataFrame.unionByName, tables)
+    named = spark.createDataFrame(list(job_of.items()), "cell int, job_id int")
+    near = cut(lookup(near, named, ["cell"], len(job_of)))
+    chosen = near.groupBy("job_id", "cell", "centre").agg(F.min_by(F.struct(*keep), F.struct("d", "tie")).alias("x"), F.count(F.lit(1)).alias("group_size"))
+    if len(job_of) > len(grouped) or len(tables) > 1:  # centres are numbered within their part: number them within the job
+        chosen = chosen.withColumn("centre", (F.col("cell").cast("bigint") * MAX_GROUPS + F.col("centre")).cast("int"))
+        near = near.withColumn("centre", (F.col("cell").cast("bigint") * MAX_GROUPS + F.col("centre")).cast("int"))
+    chosen = cut(chosen.select("job_id", "x.*", "centre", "group_size"))
     have = {r["job_id"]: r["count"] for r in chosen.groupBy("job_id").count().collect()}
     picks = chosen.select("job_id", "run_name", "record", "centre", "group_size")
     for j, k in grouped.items():

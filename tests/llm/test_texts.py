@@ -253,6 +253,22 @@ def test_packing_keeps_every_limit(spark):
     assert pack(twice, jobs).select("container_id").distinct().count() == 2  # repeated rows are items of their own
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_binding_limits(spark, monkeypatch, rule):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 80)
+    r = random.Random(4)
+    sizes = {d: r.choice([0, 3, 40, 60, 90, 100, 130, r.randint(1, 100)]) for d in range(500)}
+    df = spark.createDataFrame([(d, "a", n) for d, n in sizes.items()], "doc_id int, source string, tokens int")
+    jobs = spark.createDataFrame([(1, None, 100), (2, "a", 100)], "job_id int, source string, capacity_tokens int")
+    limits = Limits(docs_per_token=0.03, attention=0.25, rule=rule)
+    out = pack(df, jobs, limits=limits)
+    rows = [x for x in out.collect() if x["job_id"] == 1]
+    for v in check_packing(rows, sizes, 100).values():
+        assert len([n for n in v if n]) <= 3 and (sum(n * n for n in v) <= 2500 or len(v) == 1)
+    report = {x["job_id"]: x for x in pack_report(out, jobs, limits).collect()}
+    assert report[1]["over"] == 0 and report[1]["alone_above"] == len([x for x in rows if x["n_tokens"] > 50]) and 0 < report[2]["docs_fill"] <= 1
+
+
 def test_sainte_lague():
     assert sainte_lague({"a": 53, "b": 24, "c": 23}, 7) == {"a": 3, "b": 2, "c": 2}
     assert sainte_lague({"a": 1, "b": 1}, 4, {"a": 1}) == {"a": 1, "b": 3}
@@ -304,6 +320,41 @@ def test_ward_against_brute_force():
     assert {frozenset(np.flatnonzero(got == g)) for g in set(got)} == {frozenset(g) for g in groups}
 
 
+def test_larger_subsets_cover_all_themes(spark, monkeypatch):
+    monkeypatch.setattr(subset, "MAX_GROUPS", 20)
+    monkeypatch.setattr(subset, "PART_GROUPS", 8)
+    r = random.Random(5)
+    rows = []
+    for i in range(2400):
+        t = 0 if i < 1000 else i % 40
+        rows.append(("run", i, [x for x in range(t * 10, t * 10 + 7) if r.random() < 0.9] or [t * 10]))
+    df = spark.createDataFrame(rows, "run_name string, id int, m array<bigint>")
+    jobs = spark.createDataFrame([(1, None, 60), (2, None, 150), (3, None, 20)], "job_id int, run_name string, subset_size int")
+    out = choose_varied(df, jobs, record="id", group="run_name", members="m").collect()
+    for j, k in ((1, 60), (2, 150), (3, 20)):
+        ids = [x["record"] for x in out if x["job_id"] == j]
+        themes = {rows[i][2][0] // 10 for i in ids}
+        assert len(ids) == len(set(ids)) == k and len(themes) >= min(k, 40) - 3, (j, len(themes))
+
+
+def test_quotas():
+    assert subset.quotas({1: 100.0, 2: 4.0, 3: 0.0}, {1: 50, 2: 3, 3: 9}, 12) == {1: 9, 2: 2, 3: 1}
+    assert subset.quotas({}, {1: 2}, 5) == {1: 2}
+
+
+def test_batches_of_the_tree():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 0.02, (400, 3)) for c in ((0, 0, 0), (1, 0, 0), (0, 1, 0))])
+    tree = CFTree(3, 60)
+    for i in range(0, len(x), 100):
+        p = x[i : i + 100]
+        tree.insert_all(np.ones(len(p)), p, (p * p).sum(axis=1))
+    n, ls, ss = tree.entries()
+    assert n.sum() == len(x) and np.allclose(ls.sum(axis=0), x.sum(axis=0)) and np.isclose(ss.sum(), (x * x).sum()) and len(n) <= 60
+    assert (ss / n - ((ls / n[:, None]) ** 2).sum(axis=1) <= tree.threshold + 1e-9).all()
+    assert np.allclose(tree.root.total()[1], x.sum(axis=0))
+
+
 def test_varied_subset(spark, monkeypatch):
     r = random.Random(3)
     themes = [[k * 10 + i for i in range(6)] for k in range(5)]
