@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.operators.keys import dense_ids
-from graphweave.session import BROADCAST_ROWS, cut, partitions_for
+from graphweave.session import BROADCAST_ROWS, cut, parallelism
 
 #: Items of a basket handled at once; a larger basket is split into blocks of about this many, and each pair of blocks is work of its own.
 BLOCK_ITEMS = 1024
@@ -41,20 +42,26 @@ def _pair_codes(sizes: np.ndarray, flat: np.ndarray) -> Iterator[np.ndarray]:
     """Packed codes of the pairs in each list; flat holds 4 * id + side: 0 whole basket, 1 and 2 the two blocks to be crossed, 3 one block within."""
     starts = np.cumsum(sizes) - sizes
     ids, side = flat >> 2, flat & 3
-    for m in np.unique(sizes):
+    full = np.flatnonzero(sizes > 0)
+    crossed = np.zeros(len(sizes), bool)
+    crossed[full] = np.isin(np.minimum.reduceat(side, starts[full]), (1, 2)) if len(full) else False
+    for r in np.flatnonzero(crossed):  # blocks of a large basket: only the pairs between them
+        part, of = ids[starts[r] : starts[r] + sizes[r]], side[starts[r] : starts[r] + sizes[r]]
+        x, y = part[of == 1], part[of == 2]
+        step = max(1, RUN_CODES // max(1, len(y)))
+        for at in range(0, len(x), step):
+            u, v = x[at : at + step, None], y[None]
+            yield ((np.minimum(u, v) << 32) | np.maximum(u, v)).ravel()
+    for m in np.unique(sizes[~crossed]):
         if m < 2:
             continue
-        rows = np.flatnonzero(sizes == m)
+        rows = np.flatnonzero((sizes == m) & ~crossed)
         a, b = np.triu_indices(m, 1)
         step = max(1, RUN_CODES // len(a))
         for at in range(0, len(rows), step):
             pick = starts[rows[at : at + step]][:, None] + np.arange(m)
             x, y = ids[pick][:, a], ids[pick][:, b]
-            codes = (np.minimum(x, y) << 32) | np.maximum(x, y)
-            s = side[pick]
-            crossed = s[:, a] != s[:, b]
-            keep = crossed | (s[:, a] == 0) | (s[:, a] == 3)
-            yield codes[keep]
+            yield ((np.minimum(x, y) << 32) | np.maximum(x, y)).ravel()
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +163,7 @@ def cooccurrences(df: DataFrame, basket: str, item: str, *, min_count: int = 1,
         split = split.select("basket", lo.alias("lo"), hi.alias("hi"), (F.col("id") * 4 + side).alias("x"))
         lists = lists.unionByName(split.groupBy("basket", "lo", "hi").agg(F.collect_list("x").alias("ids")).select("ids"))
     runs = lists.mapInArrow(_sorted_runs, _CODE)
-    merged = runs.repartition(partitions_for(spark, 0, 1), "code").sortWithinPartitions("code").mapInArrow(_count_runs, _CODE)
+    merged = runs.repartition(parallelism(spark), "code").sortWithinPartitions("code").mapInArrow(_count_runs, _CODE)
     found = merged.where(F.col("n") >= min_count).select(F.shiftright("code", 32).alias("a"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), F.col("n").alias("n_ab"))
     for side in ("a", "b"):
         words_of = vocabulary.select(F.col("id").alias(side), F.col("item").alias(f"w_{side}"), F.col("n").alias(f"c_{side}"))
@@ -168,8 +175,10 @@ def cooccurrences(df: DataFrame, basket: str, item: str, *, min_count: int = 1,
         "n_ab", F.lit(baskets).cast("bigint").alias("baskets"),
     )
     exact = "cast(n_ab as decimal(19,0)) * cast(baskets as decimal(19,0))", "cast(n_a as decimal(19,0)) * cast(n_b as decimal(19,0))"
-    if min_lift > 0:
-        out = out.where(F.expr(exact[0]) >= F.expr(exact[1]) * F.lit(str(min_lift)).cast("decimal(9,4)")) if min_lift != int(min_lift) else out.where(F.expr(exact[0]) >= F.expr(exact[1]) * F.lit(int(min_lift)))
+    if min_lift > 0:  # in whole numbers: both sides times the power of ten that makes min_lift whole
+        lift = Decimal(str(min_lift))
+        scale = max(0, -lift.normalize().as_tuple().exponent)
+        out = out.where(F.expr(exact[0]) * F.lit(10**scale).cast("decimal(18,0)") >= F.expr(exact[1]) * F.lit(int(lift.scaleb(scale))).cast("decimal(18,0)"))
     half = F.lit(0.5)
     odds = (F.col("n_ab") + half) * (F.col("baskets") - F.col("n_a") - F.col("n_b") + F.col("n_ab") + half) / ((F.col("n_a") - F.col("n_ab") + half) * (F.col("n_b") - F.col("n_ab") + half))
     return out.withColumns({"lift": F.col("n_ab") * F.col("baskets") / (F.col("n_a").cast("double") * F.col("n_b")), "odds_ratio": odds, "log_odds": F.log(odds)})

@@ -126,7 +126,7 @@ def unite_deliveries(df: DataFrame, field: str, record: str, terms: str) -> tupl
     delivery = F.xxhash64(F.to_json("terms"))
     parts = parts.select("field", "record", delivery.alias("delivery"), "terms").dropDuplicates(["field", "record", "delivery"]).select("field", "record", "delivery", F.explode("terms").alias("term"))
     parts = parts.groupBy("field", "record", "delivery", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("field", "record", "term").agg(F.max("n").alias("n"))
-    return same.unionByName(parts.select("field", F.array("term").alias("terms"), "n")), totals
+    return same.unionByName(cut(parts.select("field", F.array("term").alias("terms"), "n"))), totals
 
 
 def record_term_frequencies(rows: DataFrame, *, heavy: int = HEAVY_TERMS) -> DataFrame:
