@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,9 +14,6 @@ from graphweave.model import Graphs
 from graphweave.operators.keys import dense_ids
 from graphweave.session import BROADCAST_ROWS, cut
 
-#: Most nodes of a pattern: a canonical code tries the orders of nodes with equal labels.
-MAX_NODES = 8
-
 _EDGE = "struct<id:bigint,s:bigint,r:bigint,subj:string,pos:string,ref:string>"
 
 
@@ -33,21 +29,40 @@ class Patterns:
 
 
 def canonical(raw: str, directed: bool) -> str:
-    """Least form of a labelled graph given as JSON [[i, label, pos, j, label], ...]: [labels, [[i, pos, j], ...]].
+    """The same text for isomorphic labelled graphs, given as JSON [[i, label, pos, j, label], ...]: [labels, [[i, pos, j], ...]].
 
-    Without direction an edge goes from the lower to the higher number."""
+    Nodes are numbered by label; among equal labels by refining colours through their neighbours until nothing changes;
+    where nodes still are alike, each is tried as the first (of nodes with the same neighbours one), and the least form
+    stays. Without direction an edge goes from the lower to the higher number."""
     edges = json.loads(raw)
-    labels = {}
-    for i, a, _, j, b in edges:
+    labels, near = {}, {}
+    for i, a, p, j, b in edges:
         labels[i], labels[j] = a, b
-    groups = [[n for n in labels if labels[n] == x] for x in sorted(set(labels.values()))]
-    best = None
-    for orders in itertools.product(*(itertools.permutations(g) for g in groups)):
-        at = {n: k for k, n in enumerate(itertools.chain(*orders))}
-        form = sorted([at[i], p, at[j]] if directed or at[i] < at[j] else [at[j], p, at[i]] for i, _, p, j, _ in edges)
-        if best is None or form < best:
-            best = form
-    return json.dumps([sorted(labels.values()), best], separators=(",", ":"), ensure_ascii=False)
+        near.setdefault(i, []).append((1 if directed else 0, p, j))
+        near.setdefault(j, []).append((-1 if directed else 0, p, i))
+
+    def ranked(key: dict) -> dict:
+        order = {k: i for i, k in enumerate(sorted(set(key.values())))}
+        return {n: order[k] for n, k in key.items()}
+
+    def refined(colour: dict) -> dict:
+        while True:
+            finer = ranked({n: (colour[n], tuple(sorted((d, p, colour[m]) for d, p, m in near[n]))) for n in colour})
+            if len(set(finer.values())) == len(set(colour.values())):
+                return finer
+            colour = finer
+
+    def least(colour: dict) -> list:
+        cells: dict = {}
+        for n, c in colour.items():
+            cells.setdefault(c, []).append(n)
+        alike = next((cells[c] for c in sorted(cells) if len(cells[c]) > 1), None)
+        if alike is None:
+            return sorted([colour[i], p, colour[j]] if directed or colour[i] < colour[j] else [colour[j], p, colour[i]] for i, _, p, j, _ in edges)
+        first = {tuple(sorted(near[n])): n for n in alike}.values()
+        return min(least(refined(ranked({m: (c, m != n) for m, c in colour.items()}))) for n in first)
+
+    return json.dumps([sorted(labels.values()), least(refined(ranked(labels)))], separators=(",", ":"), ensure_ascii=False)
 
 
 def _canonise(directed: bool):
@@ -100,18 +115,19 @@ def _frequent_edges(g: Graphs, minsup: int, directed: bool, self_loops: bool) ->
     return cut(t.select("graph_id", "e", "e.subj", "e.pos", "e.ref").join(one, ["subj", "pos", "ref"], "left_semi").select("graph_id", "e"))
 
 
-def _grown(emb: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
+def _grown(emb: DataFrame, edges: DataFrame, max_nodes: int | None) -> DataFrame:
     """Embeddings with one more edge each, one row per set of edges."""
     touch = F.exists("edges", lambda x: (x["s"] == F.col("e.s")) | (x["s"] == F.col("e.r")) | (x["r"] == F.col("e.s")) | (x["r"] == F.col("e.r")))
     new = ~F.exists("edges", lambda x: x["id"] == F.col("e.id"))
     grown = emb.select("graph_id", "edges").join(edges, "graph_id").where(touch & new)
     grown = grown.select("graph_id", F.array_sort(F.concat("edges", F.array("e"))).alias("edges"))
-    nodes = F.size(F.array_distinct(F.flatten(F.transform("edges", lambda x: F.array(x["s"], x["r"])))))
-    return grown.where(nodes <= max_nodes).withColumn("ids", F.transform("edges", lambda x: x["id"])).dropDuplicates(["graph_id", "ids"]).drop("ids")
+    if max_nodes is not None:
+        grown = grown.where(F.size(F.array_distinct(F.flatten(F.transform("edges", lambda x: F.array(x["s"], x["r"]))))) <= max_nodes)
+    return grown.withColumn("ids", F.transform("edges", lambda x: x["id"])).dropDuplicates(["graph_id", "ids"]).drop("ids")
 
 
-def frequent_subgraphs(g: Graphs, minsup: int, *, max_edges: int | None = None, directed: bool = False, self_loops: bool = False, min_nodes: int = 2, max_nodes: int = MAX_NODES) -> Patterns:
-    """All connected patterns found in at least minsup graphs (edges of a graph may be extra: not induced), with up to max_edges edges if given.
+def frequent_subgraphs(g: Graphs, minsup: int, *, max_edges: int | None = None, directed: bool = False, self_loops: bool = False, min_nodes: int = 2, max_nodes: int | None = None) -> Patterns:
+    """All connected patterns found in at least minsup graphs (edges of a graph may be extra: not induced), with up to max_edges edges and max_nodes nodes if given.
 
     directed=False mines edges without direction, which is then rebuilt from the order of the labels; edges between
     equal labels so lose theirs. Support counts graphs. Each level joins the embeddings kept so far with the frequent
@@ -157,7 +173,7 @@ def compressing_subgraphs(g: Graphs, nsubs: int, *, beam: int = 4, max_edges: in
     while max_edges is None or n < max_edges:
         best = cut(found.orderBy(F.desc(score), "code").limit(beam * nsubs).select("code"))
         emb = emb.join(F.broadcast(best) if beam * nsubs <= BROADCAST_ROWS else best, "code", "left_semi")
-        emb, found = _frequent(_coded(_grown(emb, edges, MAX_NODES), False), minsup)
+        emb, found = _frequent(_coded(_grown(emb, edges, None), False), minsup)
         if found.isEmpty():
             break
         emb, n = cut(emb), n + 1

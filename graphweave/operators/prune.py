@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.model import COARSE, Graphs, cut_graphs
+from graphweave.operators.keys import dense_ids
 from graphweave.operators.prs import filter_prs, likelihood, pairs
-from graphweave.session import cut
+from graphweave.session import cut, lookup
 
 
 
@@ -113,17 +115,16 @@ def coarse_positions(edges: DataFrame) -> DataFrame:
 
 
 def evenly_spaced(df: DataFrame, order: str, most: int = 500) -> DataFrame:
-    """All rows if they are at most so many, else that many at equal distances by order (unique), the first and last among them."""
-    from graphweave.operators.keys import dense_ids
+    """All rows if they are at most so many, else that many at equal distances by order (unique), the first and last among them.
 
+    The places are those of as many evenly spaced points from the first to the last row, rounded (half to even)."""
     numbered = dense_ids(df, [F.asc(order)], "__at")
     n = df.count()
     if n <= most:
         return numbered.drop("__at")
-    # row at is taken if it is the rounded place of some of the evenly spaced points
-    step = (n - 1) / (most - 1)
-    near = F.round(F.col("__at") / F.lit(step))
-    return numbered.where(F.floor(near * F.lit(step)).cast("bigint") == F.col("__at")).drop("__at")
+    places = np.unique(np.round(np.linspace(0, n - 1, most)).astype(np.int64)).tolist()
+    wanted = df.sparkSession.createDataFrame([(p,) for p in places], "__at bigint")
+    return lookup(numbered, wanted, ["__at"], len(places), "left_semi").drop("__at")
 
 
 def positive_relationships(triples: DataFrame, prs: DataFrame, threshold: float) -> DataFrame:

@@ -185,6 +185,52 @@ def test_matching_and_overlap_against_enumeration(spark, faithful):
     assert got == want and any(c for c, _ in want.values())
 
 
+@pytest.mark.parametrize("faithful", [True, False])
+def test_matching_of_nodes_without_edge(spark, faithful):
+    graphs = random_graphs(17)
+    patterns = {k: (l, es[: k % 3]) for k, (l, es) in random_graphs(18, 24).items()}
+    patterns[50], patterns[51], patterns[52] = ({0: "a", 1: "b", 2: "c", 3: "c"}, [(0, "on", 1)]), ({0: "a"}, []), ({0: "z", 1: "a"}, [])
+    g = build(spark, [(i, n, x) for i, (l, _) in graphs.items() for n, x in l.items()], [(i, *e) for i, (_, es) in graphs.items() for e in es])
+    pn = spark.createDataFrame([(k, n, x) for k, (l, _) in patterns.items() for n, x in l.items()], "pattern_id bigint, node int, label string")
+    pe = spark.createDataFrame([(k, *e) for k, (_, es) in patterns.items() for e in es], "pattern_id bigint, s int, pos string, r int")
+    got = {(r["pattern_id"], r["graph_id"]) for r in matching.matches(g, pn, pe, faithful=faithful).collect()}
+    want = {(k, i) for k, (pl, es) in patterns.items() for i, (l, ge) in graphs.items() if brute_match(pl, es, l, ge, faithful)}
+    assert got == want and any(k == 51 for k, _ in want) and any(not patterns[k][1] and len(patterns[k][0]) > 1 for k, _ in want)
+    cells = {(r["pattern_id"], r["graph_id"]): r["cnt"] for r in matching.coverage(g, pn, pe, min_nodes=1, faithful=faithful).collect()}
+    assert cells == {(k, i): int((k, i) in want) for k, (pl, _) in patterns.items() for i, (l, _) in graphs.items() if set(pl.values()) <= set(l.values())}
+
+
+def test_canonical_codes_of_symmetric_graphs():
+    import json
+
+    r = random.Random(3)
+    shapes = [[(0, i) for i in range(1, 13)], [(i, (i + 1) % 9) for i in range(9)], [(i, j) for i in range(4) for j in range(4, 8)], [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (0, 3)]]
+    codes = set()
+    for shape in shapes:
+        n = max(max(e) for e in shape) + 1
+        for directed in (True, False):
+            own = set()
+            for _ in range(5):
+                at = r.sample(range(n), n)
+                rows = [[at[i], "x", "on", at[j], "x"] if directed or r.random() < 0.5 else [at[j], "x", "on", at[i], "x"] for i, j in r.sample(shape, len(shape))]
+                own.add(mining.canonical(json.dumps(rows), directed))
+            assert len(own) == 1
+            codes |= {(directed, *own)}
+    assert len(codes) == 2 * len(shapes)
+
+
+def test_patterns_of_any_size(spark):
+    star = build(spark, [(g, i, "hub" if i == 0 else "leaf") for g in range(2) for i in range(12)], [(g, 0, "on", i) for g in range(2) for i in range(1, 10 + g)])
+    sizes = sorted(r["n_nodes"] for r in mining.frequent_subgraphs(star, 2).patterns.collect())
+    assert sizes == list(range(2, 11))
+
+
+@pytest.mark.parametrize("n", [499, 500, 501, 750, 999, 1001])
+def test_evenly_spaced_places(spark, n):
+    got = [r["id"] for r in prune.evenly_spaced(spark.range(n), "id").orderBy("id").collect()]
+    assert got == (sorted({round(x) for x in np.linspace(0, n - 1, 500)}) if n > 500 else list(range(n)))
+
+
 def test_maximal_itemsets(spark):
     sets = {0: ("ab", 9), 1: ("a", 9), 2: ("abc", 5), 3: ("ab", 12), 4: ("d", 3), 5: ("abcd", 2)}
     p = spark.createDataFrame([(k, s) for k, (_, s) in sets.items()], "pattern_id bigint, sup bigint")
