@@ -100,6 +100,25 @@ def place_candidates(edges: DataFrame, seeds: list[str]) -> DataFrame:
     return both.where(~F.rlike("place", F.lit("[0-9'\"]")) & ~F.col("place").isin(seeds))
 
 
+def place_names(edges: DataFrame, syllable: str = "place") -> DataFrame:
+    """(place, links): ends of relations whose name holds the syllable, with more than one link or an IsA link, without digits and quotes."""
+    named = edges.where(F.contains(F.col("end"), F.lit(syllable))).groupBy(F.col("end").alias("place")).agg(F.count(F.lit(1)).alias("links"), F.bool_or(F.col("rel") == "IsA").alias("isa"))
+    return named.where(((F.col("links") > 1) | F.col("isa")) & ~F.rlike("place", F.lit("[0-9'\"]"))).select("place", "links")
+
+
+def place_list(edges: DataFrame, chosen: list[str], kept: list[str], added: list[str] = (), general: str = "place") -> DataFrame:
+    """(place, part): the places list. Of the names chosen among place_names (but for the general one) and of those added part is 'places';
+    of the starts of IsA links to a chosen one that are kept, without digits and quotes and not named n, it is 'sub-places'."""
+    spark = edges.sparkSession
+    have = place_names(meaningful(edges, tuple(x for x in MEANINGFUL if x != "Antonym"))).select("place")
+    named = [p for p in dict.fromkeys([*chosen, *added]) if p != general]
+    wanted = spark.createDataFrame([(p, p in added) for p in named], "place string, free boolean")
+    top = wanted.join(have.withColumn("known", F.lit(True)), "place", "left").where(F.col("free") | F.col("known")).select("place", F.lit("places").alias("part"))
+    sub = edges.where((F.col("rel") == "IsA") & F.col("end").isin(list(chosen)) & (F.col("start") != "n")).select(F.col("start").alias("place")).distinct()
+    sub = sub.where(~F.rlike("place", F.lit("[0-9'\"]")) & F.col("place").isin(list(kept)))
+    return top.unionByName(sub.select("place", F.lit("sub-places").alias("part")))
+
+
 def image_places(cells: DataFrame, pattern_places: DataFrame) -> DataFrame:
     """(graph_id, place, score): product of the 0/1 coverage and the patterns' place scores (pattern_id, place, score), as sparse matrices."""
     hit = cells.where("cnt > 0").select("graph_id", "pattern_id")

@@ -117,6 +117,16 @@ def caption_search(captions: DataFrame, key: str, text: str, terms: list[str]) -
     return captions.select(key, F.explode(found).alias("term"), text)
 
 
+def subset_by_caption(graphs: DataFrame, captions: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """The graphs with a caption that contains one of the terms."""
+    return graphs.join(caption_search(captions, key, text, terms).select(key).distinct(), key, "left_semi")
+
+
+def select_features(matrix: DataFrame, graphs: DataFrame, key: str) -> DataFrame:
+    """The rows of a feature matrix that belong to the graphs of a subset."""
+    return matrix.join(graphs.select(key).distinct(), key, "left_semi")
+
+
 def compare_methods(tables: dict[str, DataFrame], k: str = "n_graphs", least: int = 0) -> DataFrame:
     """The evaluation rows of several methods under each other, with a column method, from k = least."""
     out = None

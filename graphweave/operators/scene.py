@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweave.session import cut
+
 #: The counters of a pair (i, j), in the order of the feature vector (fixed values).
 COUNTERS = ("i on j", "j on i", "i above j", "j above i", "i around j", "j around i", "other")
 
@@ -94,6 +96,14 @@ def pair_features(positions: DataFrame, box: DataFrame) -> DataFrame:
     return p.select("image_id", "i", "j", *[F.try_divide(F.col(f"`{c}`").cast("double"), width).alias(c) for c in COUNTERS], *[s.alias(n) for s, n in zip(sides, ("deltaY1", "deltaY2", "deltaX1", "deltaX2"))])
 
 
+def recomputed_features(runs: DataFrame, order: DataFrame, labelled: DataFrame) -> DataFrame:
+    """pair_features of the labelled pairs (image_id, i, j) alone: only their images are gone through. i is the pair's subject."""
+    images = labelled.select("image_id").distinct()
+    mine = cut(runs.join(images, "image_id", "left_semi"))
+    features = pair_features(pair_positions(mine, order.select("image_id", "segment_id", "rank")), boxes(mine))
+    return features.join(labelled.select("image_id", "i", "j").distinct(), ["image_id", "i", "j"], "left_semi")
+
+
 def segment_order(segments: DataFrame, categories: DataFrame) -> DataFrame:
     """(image_id, segment_id, label, rank): segments with their category's name (none without), ranked by name."""
     named = segments.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("label")), "category_id")

@@ -38,7 +38,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = f"WITH {_SQL} {sql}"
+            ORACLE[f.__name__] = f"WITH {_SQL}{'' if sql.startswith(',') else ' '}{sql}"
         return f
 
     return add
@@ -80,6 +80,25 @@ def fsm_2edge(spark, d):
     return rows.select(F.array_join("l", ",").alias("labels"), F.col("e")[0].alias("e1"), F.col("e")[1].alias("e2"), "sup")
 
 
+@query("""SELECT labels, e[1] e1, e[2] e2, e[3] e3, count(DISTINCT graph_id) sup FROM (
+    SELECT a.graph_id, list_sort([a.k, b.k, c.k]) e, list_distinct([a.s, a.r, b.s, b.r, c.s, c.r]) ns, array_to_string(list_sort(list_distinct([a.subj, a."ref", b.subj, b."ref", c.subj, c."ref"])), ',') labels,
+        len(list_distinct([a.subj, a."ref", b.subj, b."ref", c.subj, c."ref"])) kinds, len(list_distinct([(least(a.s, a.r), greatest(a.s, a.r)), (least(b.s, b.r), greatest(b.s, b.r)), (least(c.s, c.r), greatest(c.s, c.r))])) links
+    FROM uk a JOIN uk b ON a.graph_id = b.graph_id AND (a.s, a.pos, a.r) < (b.s, b.pos, b.r) JOIN uk c ON a.graph_id = c.graph_id AND (b.s, b.pos, b.r) < (c.s, c.pos, c.r))
+    WHERE len(ns) = 4 AND kinds = 4 AND links = 3 GROUP BY ALL HAVING count(DISTINCT graph_id) >= 2""")
+def fsm_3edge(spark, d):
+    """Three connected edges over four different labels, in at least two of the graphs as they are."""
+    p = M.frequent_subgraphs(cut_graphs(load(spark, d)), 2, max_edges=3)
+    a = p.nodes.select("pattern_id", F.col("node").alias("s"), F.col("label").alias("subj"))
+    b = p.nodes.select("pattern_id", F.col("node").alias("r"), F.col("label").alias("ref"))
+    kinds = p.edges.join(a, ["pattern_id", "s"]).join(b, ["pattern_id", "r"]).groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.concat_ws("|", "subj", "pos", "ref"))).alias("e"))
+    labels = p.nodes.groupBy("pattern_id").agg(F.array_sort(F.collect_set("label")).alias("l"))
+    rows = p.patterns.where("n_edges = 3 and n_nodes = 4").join(kinds, "pattern_id").join(labels, "pattern_id").where(F.size("l") == 4)
+    return rows.select(F.array_join("l", ",").alias("labels"), *[F.col("e")[k].alias(f"e{k + 1}") for k in range(3)], "sup")
+
+
+ORACLE["fsm_3edge"] = ORACLE["fsm_3edge"].replace("SELECT labels, e[1]", ", uk AS (SELECT *, subj || '|' || pos || '|' || \"ref\" k FROM (SELECT DISTINCT graph_id, CASE WHEN sw THEN r ELSE s END s, CASE WHEN sw THEN s ELSE r END r, CASE WHEN sw THEN ref ELSE subj END subj, pos, CASE WHEN sw THEN subj ELSE ref END \"ref\" FROM (SELECT *, subj > ref OR (subj = ref AND s > r) sw FROM t WHERE s <> r))) SELECT labels, e[1]", 1)
+
+
 @query()
 def fsm_k(spark, d):
     return _mined(spark, d, None)[1].patterns
@@ -87,7 +106,7 @@ def fsm_k(spark, d):
 
 @query()
 def fsm_compressing(spark, d):
-    return M.compressing_subgraphs(cut_graphs(pruned(spark, d)), 20, minsup=20).patterns
+    return M.compressing_subgraphs(cut_graphs(pruned(spark, d)), 20).patterns
 
 
 @query("SELECT m.x minsup, count(sup) patterns FROM (SELECT unnest([30, 60, 120]) x) m LEFT JOIN f1 ON sup >= x GROUP BY 1")
@@ -180,12 +199,21 @@ ORACLE["diversity_nodes"] = _RUNS.replace("{items}", "SELECT run_name, id, label
 ORACLE["diversity_edges"] = _RUNS.replace("{items}", "SELECT el.run_name, el.id, a.label || '|' || pos || '|' || b.label item FROM el JOIN nl a ON a.run_name = el.run_name AND a.id = el.id AND a.node = s JOIN nl b ON b.run_name = el.run_name AND b.id = el.id AND b.node = r WHERE pos IS NOT NULL AND a.label IS NOT NULL AND b.label IS NOT NULL")
 
 
-@query("""SELECT (SELECT count(*) FROM pt) n_graphs, (SELECT count(DISTINCT (subj, "ref")) FROM pt) distinct_sets, 2.0::DOUBLE avg_nodes,
+@query(""", pl AS (SELECT pid, list_distinct([subj, "ref"]) l FROM pt),
+    dv AS (SELECT avg(1 - len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l)))) x FROM pl a JOIN pl b ON a.pid < b.pid)
+    SELECT (SELECT count(*) FROM pt) n_graphs, (SELECT count(DISTINCT (subj, "ref")) FROM pt) distinct_sets, round_even((SELECT count(DISTINCT (subj, "ref")) / count(*) FROM pt), 3) set_ratio,
+    2.0::DOUBLE avg_nodes, 0.0::DOUBLE std_nodes, round_even((SELECT avg(len(l)) FROM pl), 2) avg_classes, (SELECT max(len(l)) FROM pl)::INT max_classes, round_even((SELECT avg(len(l) / 2) FROM pl), 2) distinct_node_ratio,
     round_even((SELECT count(*) FROM (SELECT graph_id FROM cells GROUP BY 1 HAVING max(cnt) > 0)) / (SELECT count(*) FROM g), 2) coverage,
-    round_even((SELECT sum(o) FROM (SELECT max(overlap) o FROM cells GROUP BY graph_id)) / (SELECT count(*) FROM g), 2) coverage_overlap""")
+    round_even((SELECT sum(o) FROM (SELECT max(overlap) o FROM cells GROUP BY graph_id)) / (SELECT count(*) FROM g), 2) coverage_overlap, round_even((SELECT x FROM dv), 2) diversity, 1.0::DOUBLE diversity_ne""")
 def summary_metrics(spark, d):
     g, p, cells = _cells(spark, d)
-    return V.summary(g, p.patterns, p.nodes, p.edges, cells).select("n_graphs", "distinct_sets", "avg_nodes", "coverage", "coverage_overlap")
+    return V.summary(g, p.patterns, p.nodes, p.edges, cells)
+
+
+@query("""SELECT subj, pos, "ref", graph_id FROM (SELECT subj, pos, "ref", graph_id, row_number() OVER (PARTITION BY pid ORDER BY graph_id)::INT k FROM cells WHERE cnt > 0) WHERE k <= 3""")
+def first_match_1edge(spark, d):
+    g, p = _mined(spark, d, 1)
+    return C.first_matches(g, p.nodes, p.edges, 3).join(_named(p).drop("sup"), "pattern_id").select("subj", "pos", "ref", "graph_id")
 
 
 @query()

@@ -6,7 +6,6 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +51,19 @@ GRID = tuple(
 )
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def stored(spark: SparkSession, path: str | None, make) -> DataFrame:
-    """The table at the path, made and written first if it isn't there; without a path just made."""
+    """The table at the path, made and written first if it isn't there whole; without a path just made."""
     if path is None:
         return make()
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not _complete(spark, path):
         make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _stored_graphs(spark: SparkSession, folder: str | None, make) -> Graphs:

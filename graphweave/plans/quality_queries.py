@@ -177,11 +177,6 @@ def box_iou(spark, d):
     return rounded(V.box_overlaps(b.where("id % 2 = 0"), b.where("id % 2 = 1"), "image_id"), "iou")
 
 
-@query()
-def nms(spark, d):
-    return V.nms(boxes(spark, d), "image_id", 0.3)
-
-
 @query()
 def ap_curve(spark, d):
     b = cut(boxes(spark, d))
@@ -205,11 +200,6 @@ def depth_errors(spark, d):
     return rounded(V.depth_errors(x, "l_suppkey", "t", "p"), "ratio", "abs_rel", "sq_rel", "rmse", "rmse_log", "a1", "a2", "a3")
 
 
-@query()
-def anchor_grid(spark, d):
-    return V.anchors(spark, [32, 64], [0.5, 1, 2], [(8, 8), (4, 4)], [16, 32])
-
-
 _ITEMS = "im AS (SELECT DISTINCT graph_id, 'n|' || label item FROM n UNION SELECT DISTINCT graph_id, 'e|' || subj || '|' || pos || '|' || \"ref\" FROM t), qs AS (SELECT graph_id q FROM g WHERE graph_id % 50 = 0)"
 _RANKED = f"""WITH {BASE}, {_ITEMS}, sh AS (SELECT a.graph_id q, b.graph_id o, count(*) c FROM im a JOIN im b USING (item) WHERE a.graph_id % 50 = 0 AND a.graph_id <> b.graph_id GROUP BY ALL),
     rk AS (SELECT q, g.graph_id o, -coalesce(c, 0) distance, row_number() OVER (PARTITION BY q ORDER BY -coalesce(c, 0), g.graph_id)::INT - 1 place FROM qs JOIN g ON g.graph_id <> q LEFT JOIN sh USING (q, o))"""

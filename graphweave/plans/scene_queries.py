@@ -68,13 +68,6 @@ def barycentres(spark, d):
     return S.barycentre(runs(spark, d))
 
 
-@query()
-def position_features(spark, d):
-    r = cut(runs(spark, d))
-    out = S.pair_features(S.pair_positions(r, _order(spark, d)), S.boxes(r))
-    return out.toDF(*[c.replace(" ", "_") for c in out.columns])
-
-
 @query("SELECT l_suppkey, l_partkey, count(*) n, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)::BIGINT ones FROM lineitem GROUP BY ALL")
 def rle_roundtrip(spark, d):
     """Masks made up of lineitem, encoded and decoded again."""

@@ -1,4 +1,4 @@
-"""Session helpers: where lineage is cut, how many partitions a step gets, size-checked broadcasts."""
+"""Session helpers: where lineage is cut, size-checked broadcasts, small batches."""
 
 from __future__ import annotations
 
@@ -14,11 +14,16 @@ BROADCAST_ROWS = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir), or a folder of our own where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); on a local master, where it is unset, a temporary one.
+
+    What is written there is removed once nothing in the session refers to it any more."""
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphweave-"))
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return sc.getCheckpointDir()
 
 
@@ -47,11 +52,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
-    """Enough partitions for rows, at least those of the session."""
-    return max(parallelism(spark), -(-rows // per_partition))
-
-
 def lookup(big: DataFrame, dim: DataFrame, on: list[str], dim_rows: int, how: str = "inner") -> DataFrame:
     """big joined to dim, whose row count is known: broadcast if that is small, else shuffled (AQE splits skewed parts)."""
     return big.join(F.broadcast(dim) if dim_rows <= BROADCAST_ROWS else dim, on, how)
