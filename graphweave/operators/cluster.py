@@ -67,11 +67,10 @@ def truncated_svd(df: DataFrame, key: str, features: str, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total))], names=["i", "row"])
 
     parts = x.select("x").mapInArrow(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
-    cells = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    size = 1 + max((r["i"] for r in cells), default=-1)
-    m = np.zeros((size, size))
-    for r in cells:
-        m[r["i"], r["j"]] = r["v"]
+    sums = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("row"))
+    lines = sums.select("i", F.transform("row", lambda c: c["v"]).alias("row")).orderBy("i").collect()  # a line a dimension
+    size = len(lines)
+    m = np.array([r["row"] for r in lines]).reshape(size, size)
     v = np.linalg.eigh(m)[1][:, ::-1][:, :k] if size else m
     v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0) if size else v
     dots = [F.aggregate(F.zip_with("x", F.array(*[F.lit(float(c)) for c in v[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p) for j in range(v.shape[1])]

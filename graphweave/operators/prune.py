@@ -50,7 +50,8 @@ def node_pruning(g: Graphs) -> Graphs:
     """Of nodes of one graph with equal label and description the last stays; edges of the others go.
 
     Descriptions come from the unpruned graph, so a second pass may prune more."""
-    last = node_descriptions(g).groupBy("graph_id", "label", "description").agg(F.max("node_id").alias("node_id"))
+    alike = F.md5(F.to_json("description")).alias("alike")  # 128 bits in place of the array
+    last = node_descriptions(g).select("graph_id", "label", "node_id", alike).groupBy("graph_id", "label", "alike").agg(F.max("node_id").alias("node_id"))
     nodes = last.select("graph_id", "node_id", "label")
     ids = nodes.select("graph_id", "node_id")
     edges = g.edges.join(ids.withColumnRenamed("node_id", "s"), ["graph_id", "s"], "left_semi").join(ids.withColumnRenamed("node_id", "r"), ["graph_id", "r"], "left_semi")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.operators.salted import heavy_keys
 from graphweave.session import BROADCAST_ROWS, cut
 
+#: Share of the rows from which an item counts as hot, and the parts it is spread over.
+HOT_SHARE, SALTS = 0.002, 32
+
 
 def features(triples: DataFrame, nodes: DataFrame, relations: bool = True) -> DataFrame:
     """(graph_id, item): the distinct labels of each graph and, with relations, its triples."""
@@ -23,8 +27,12 @@ def shared(queries: DataFrame, items: DataFrame) -> DataFrame:
     own = cut(items.join(q.withColumnRenamed("query_id", "graph_id"), "graph_id", "left_semi").select(F.col("graph_id").alias("query_id"), "item"))
     if own.count() <= BROADCAST_ROWS:  # each graph's items in one partition, so that the counts need no further shuffle
         met = items.repartition("graph_id").join(F.broadcast(own), "item")
-    else:
-        met = own.join(items, "item")
+    else:  # items that many graphs hold are spread over SALTS parts, each of which meets all queries with the item
+        hot = F.broadcast(cut(heavy_keys(items, ["item"], HOT_SHARE).withColumn("hot", F.lit(True))))  # at most 1 / HOT_SHARE rows
+        part = F.when(F.col("hot"), F.pmod(F.xxhash64("graph_id"), F.lit(SALTS))).otherwise(0)
+        spread = items.join(hot, "item", "left").select("graph_id", "item", part.alias("part"))
+        every = F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0)))
+        met = own.join(hot, "item", "left").select("query_id", "item", every.cast("bigint").alias("part")).join(spread, ["item", "part"])
     return met.where(F.col("query_id") != F.col("graph_id")).groupBy("query_id", "graph_id").agg(F.count(F.lit(1)).alias("shared"))
 
 

@@ -131,10 +131,10 @@ def object_anomaly(spark, d):
     return rounded(_objects(spark, d), "anom_pct", "avg_likelihood")
 
 
-@query(f"WITH {BASE}, {_OBJECTS}, th2 AS (SELECT i / 250.0::DOUBLE t, i FROM range(50) x(i)) SELECT i::INT k, (count(*) FILTER (round(avg_likelihood, 9) < round(t, 9) AND status = 'fp')) tp, (count(*) FILTER (round(avg_likelihood, 9) < round(t, 9) AND status <> 'fp')) fp FROM th2, ob GROUP BY i")
+@query(f"WITH {BASE}, {_OBJECTS}, th2 AS (SELECT i / 5000.0::DOUBLE t, i FROM range(1000) x(i)) SELECT i::INT k, (count(*) FILTER (round(avg_likelihood, 9) < round(t, 9) AND status = 'fp')) tp, (count(*) FILTER (round(avg_likelihood, 9) < round(t, 9) AND status <> 'fp')) fp FROM th2, ob GROUP BY i")
 def anomaly_pr_curve(spark, d):
     scores = _objects(spark, d).select(F.round("avg_likelihood", 9).alias("x"), (F.col("status") == "fp").alias("y"))
-    return A.threshold_curve(scores, "x", "y", 0.0, 0.2, 50).select(F.round(F.col("threshold") * 250).cast("int").alias("k"), "tp", "fp")
+    return A.threshold_curve(scores, "x", "y", 0.0, 0.2, 1000).select(F.round(F.col("threshold") * 5000).cast("int").alias("k"), "tp", "fp")
 
 
 @query(f"WITH {BASE}, {_OBJECTS} SELECT round(count(*) FILTER (anom_pct >= 30 AND status = 'fp') / count(*) FILTER (status = 'fp'), 6) recall, round(count(*) FILTER (anom_pct >= 30 AND status = 'fp') / count(*) FILTER (anom_pct >= 30), 6) AS \"precision\" FROM ob")

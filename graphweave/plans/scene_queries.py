@@ -144,10 +144,14 @@ def image_place_profile(spark, d):
 _TEXTS = ["[[A kettle]] is on [[the table top]]", "*Something you find in [[a kitchen]] is [[a kettle]]", "You are likely to find [[a tram]] in [[the city]]", "nothing here"]
 
 
-@query(f"""SELECT t, nullif(coalesce(nullif(regexp_extract(t, '^\\[\\[(.+?)\\]\\] (?:is|are) (.+?) \\[\\[(.+?)\\]\\]', 1), ''), nullif(regexp_extract(t, 'omething you find (.+?) \\[\\[(.+?)\\]\\] is \\[\\[(.+?)\\]\\]', 3), ''), regexp_extract(t, 'ou are likely to find \\[\\[(.+?)\\]\\] (.+?) \\[\\[(.+?)\\]\\]', 1)), '') subj FROM (SELECT unnest({_TEXTS!r}) t)""")
+_FORMS = [("^\\[\\[(.+?)\\]\\] (?:is|are) (.+?) \\[\\[(.+?)\\]\\]", (1, 2, 3)), ("omething you find (.+?) \\[\\[(.+?)\\]\\] is \\[\\[(.+?)\\]\\]", (3, 1, 2)), ("ou are likely to find \\[\\[(.+?)\\]\\] (.+?) \\[\\[(.+?)\\]\\]", (1, 2, 3))]
+_PARTS = [f"coalesce({', '.join(f"nullif(regexp_extract(t, '{x}', {at[k]}), '')" for x, at in _FORMS)}) {n}" for k, n in enumerate(("subj", "pos", "obj"))]
+
+
+@query(f"SELECT t, {', '.join(_PARTS)} FROM (SELECT unnest({_TEXTS!r}) t)")
 def surface_text(spark, d):
     x = spark.createDataFrame([(t,) for t in _TEXTS], "t string")
-    return x.select("t", K.surface_position(F.col("t"))[0].alias("subj"))
+    return x.select("t", *[c.alias(n) for c, n in zip(K.surface_position(F.col("t")), ("subj", "pos", "obj"))])
 
 
 _TREE = "tr AS (SELECT 'n' || n_nationkey child, 'r' || n_regionkey parent FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region)"
@@ -195,8 +199,10 @@ def svd(spark, d):
     SELECT a.label subj, b.label ref, replace(pos, ' ', '-') pos, count(*) n FROM e JOIN n a ON a.graph_id = e.graph_id AND a.node_id = s JOIN n b ON b.graph_id = e.graph_id AND b.node_id = r
     WHERE pos IS NOT NULL AND a.label IS NOT NULL AND b.label IS NOT NULL GROUP BY ALL""")
 def prs_streamed(spark, d):
-    """The bins of the pairwise summary counted over edges read as a stream; each distinct edge counts."""
-    from graphweave.streaming.prs_stream import bin_counts
+    """The bins of the pairwise summary counted over edges read as a stream; each distinct edge counts.
+
+    Deliveries may repeat at any time, so the state holds a hash of every edge; it is kept in RocksDB, which spills."""
+    from graphweave.streaming import prs_stream
 
     nodes = load(spark, d).nodes
     schema = spark.read.parquet(f"{d}/edges.parquet").schema
@@ -204,7 +210,11 @@ def prs_streamed(spark, d):
     edges = edges.select("graph_id", "s", "r", F.replace(term("pos"), F.lit(" "), F.lit("-")).alias("pos")).where(F.col("pos").isNotNull()).dropDuplicates()
     a = nodes.select("graph_id", F.col("node_id").alias("s"), F.col("label").alias("subj"))
     b = nodes.select("graph_id", F.col("node_id").alias("r"), F.col("label").alias("ref"))
-    name = f"prs_bins_{uuid.uuid4().hex}"
-    q = bin_counts(edges.join(a, ["graph_id", "s"]).join(b, ["graph_id", "r"])).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    folder, name = f"{checkpoint_dir(spark)}/prs-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        prs_stream.start(edges.join(a, ["graph_id", "s"]).join(b, ["graph_id", "r"]), f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return prs_stream.latest(spark, f"{folder}/table").select("subj", "ref", "pos", "n")

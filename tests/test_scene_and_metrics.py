@@ -183,6 +183,32 @@ def test_classifier(spark):
     assert table.count() == 3 and table.agg(F.max("macro_f1")).first()[0] > 0.9
 
 
+def test_neighbours_and_leave_one_out(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice([0.0, 1.0, 2.0]), r.random(), "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, l string")
+    want = {}
+    for i, x, y, _ in rows:
+        near = sorted(((x - u) ** 2 + (y - v) ** 2, j, l) for j, u, v, l in rows if j != i)[:5]
+        votes = [l for _, _, l in near]
+        want[i] = min(set(votes), key=lambda l: (-votes.count(l), l))
+    assert {x["id"]: x["predicted"] for x in classifier.leave_one_out(df, "id", ["x", "y"], "l", "knn", {"k": 5}).collect()} == want
+    assert classifier.nearest_neighbours(df.where("false"), df, "id", ["x", "y"], "l", 5).collect() == []
+    few = spark.createDataFrame([(i, float(i % 2), "ab"[i % 2]) for i in range(8)], "id bigint, x double, l string")
+    got = {x["id"]: x["predicted"] for x in classifier.leave_one_out(few, "id", ["x"], "l", "tree", {"maxDepth": 2}).collect()}
+    assert got == {i: "ab"[i % 2] for i in range(8)}
+    models = classifier.select_model(df, ["x", "y"], "l", folds=2, depths=(2,), trees=(3,), neighbours=(3,), key="id").collect()
+    assert sorted(x["model"] for x in models) == ["forest", "knn", "svm", "tree"] and all(0 <= x["macro_f1"] <= 1 for x in models)
+
+
+def test_place_list(spark):
+    rows = [("IsA", "kitchen", "eating_place"), ("IsA", "n", "eating_place"), ("UsedFor", "dog", "eating_place"), ("RelatedTo", "x", "place_2"), ("RelatedTo", "y", "place_2"), ("RelatedTo", "x", "one_place"), ("IsA", "bar", "bar_place"), ("IsA", "q's", "eating_place"), ("Antonym", "a", "b_place"), ("Antonym", "c", "b_place")]
+    edges = spark.createDataFrame(rows, 'rel string, start string, end string')
+    assert {tuple(x) for x in concepts.place_names(edges).collect()} == {("eating_place", 3 + 1), ("bar_place", 1), ("b_place", 2)}
+    got = {tuple(x) for x in concepts.place_list(edges, ["eating_place", "one_place", "b_place", "place"], ["kitchen", "bar", "q's"], ["outside"]).collect()}
+    assert got == {("eating_place", "places"), ("outside", "places"), ("kitchen", "sub-places")}
+
+
 def test_kmedoids_settles(spark):
     r = np.random.default_rng(3)
     pts = np.concatenate([r.normal(c, 0.1, (20, 2)) for c in (0, 5, 10)])[r.permutation(60)]
@@ -204,5 +230,5 @@ def test_stream_counts_as_batch(spark, tmp_path):
     q = prs_stream.start(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    got = {(x["subj"], x["ref"], x["pos"]): (x["n"], x["sup"], x["likelihood"]) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {(x["subj"], x["ref"], x["pos"]): (x["n"], x["sup"], x["likelihood"]) for x in prs_stream.latest(spark, str(tmp_path / "out")).collect()}
     assert got == {("a", "b", "on"): (2, 3, 2 / 3), ("a", "b", "by"): (1, 3, 1 / 3), ("c", "b", "on"): (1, 1, 1.0)}
