@@ -28,6 +28,8 @@ FAN_IN = 16
 MAX_GROUPS, PART_GROUPS = 2000, 200
 #: Points inserted at once.
 BATCH = 4096
+#: Records for which a task with trees of its own pays: a tree's first entries cost the same however few follow.
+TASK_RECORDS = 20_000
 
 _MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -354,8 +356,9 @@ def choose_varied(df: DataFrame, jobs: DataFrame, *, record: str, group: str, me
     if not plan:
         return spark.createDataFrame([], f"job_id int, run_name {kinds[group]}, record {kinds[record]}, centre int, group_size bigint")
     rows = df.select(F.col(group).alias("run_name"), F.col(record).alias("record"), F.col(members).cast("array<bigint>").alias("members"))
-    # a number of partitions of its own: the steps that follow work much for each byte
-    rows = rows.repartition(parallelism(spark), "run_name", "record").groupBy("run_name", "record").agg(F.max(F.coalesce("members", F.array().cast("array<bigint>"))).alias("members"))
+    # a number of partitions by records, not bytes: the steps that follow work much for each byte
+    tasks = max(1, min(parallelism(spark), -(-df.count() // TASK_RECORDS)))
+    rows = rows.repartition(tasks, "run_name", "record").groupBy("run_name", "record").agg(F.max(F.coalesce("members", F.array().cast("array<bigint>"))).alias("members"))
     choice = F.array(*[F.when(F.lit(run is None) | (F.col("run_name") == F.lit(run)), F.lit(j)) for j, run, _ in plan])
     rows = rows.withColumn("cells", F.filter(choice, lambda x: x.isNotNull())).where(F.size("cells") > 0)
     rows = cut(rows.select("run_name", "record", "members", "cells", F.xxhash64("run_name", "record").alias("tie"), F.xxhash64("members").alias("set_id")))
