@@ -126,13 +126,17 @@ def _grown(emb: DataFrame, edges: DataFrame, max_nodes: int | None) -> DataFrame
     return grown.withColumn("ids", F.transform("edges", lambda x: x["id"])).dropDuplicates(["graph_id", "ids"]).drop("ids")
 
 
-def frequent_subgraphs(g: Graphs, minsup: int, *, max_edges: int | None = None, directed: bool = False, self_loops: bool = False, min_nodes: int = 2, max_nodes: int | None = None) -> Patterns:
-    """All connected patterns found in at least minsup graphs (edges of a graph may be extra: not induced), with up to max_edges edges and max_nodes nodes if given.
+def frequent_subgraphs(g: Graphs, minsup: int, *, max_edges: int | None = None, directed: bool = False, self_loops: bool = False, min_nodes: int = 2, max_nodes: int | None = None, max_graphs: int | None = None) -> Patterns:
+    """All connected patterns found in at least minsup graphs (edges of a graph may be extra: not induced), with up to max_edges edges and max_nodes nodes if given,
+    in the first max_graphs graphs by id if given.
 
     directed=False mines edges without direction, which is then rebuilt from the order of the labels; edges between
     equal labels so lose theirs. Support counts graphs. Each level joins the embeddings kept so far with the frequent
     edges of their graph, keeps one row per set of edges, and drops patterns below minsup; a level is written to the
     shared folder, so a lost executor costs no earlier level. Empty collections give empty tables."""
+    if max_graphs is not None:
+        first = g.graphs.orderBy("graph_id").limit(max_graphs)
+        g = Graphs(first, g.nodes.join(first, "graph_id", "left_semi"), g.edges.join(first, "graph_id", "left_semi"))
     edges = _frequent_edges(g, minsup, directed, self_loops)
     emb, found = _frequent(_coded(edges.select("graph_id", F.array("e").alias("edges")), directed), minsup)
     every, n = found, 1

@@ -19,7 +19,8 @@ SHARE = 0.003
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-# undirected edges of the pruned graphs, direction rebuilt by label order; frequent one-edge patterns
+# undirected edges of the pruned graphs, direction rebuilt by label order; frequent one-edge patterns. At SHARE of the smaller tables
+# no pattern of two edges is frequent, so that the SQL says all of the summaries too; the queries themselves have no bound of edges.
 _SQL = f"""{BASE}, {PRUNED_SQL},
     ue AS (SELECT DISTINCT graph_id, CASE WHEN sw THEN r ELSE s END s, CASE WHEN sw THEN s ELSE r END r, CASE WHEN sw THEN ref ELSE subj END subj, pos, CASE WHEN sw THEN subj ELSE ref END "ref"
         FROM (SELECT *, subj > ref OR (subj = ref AND s > r) sw FROM ne WHERE s <> r)),
@@ -99,9 +100,9 @@ def fsm_3edge(spark, d):
 ORACLE["fsm_3edge"] = ORACLE["fsm_3edge"].replace("SELECT labels, e[1]", ", uk AS (SELECT *, subj || '|' || pos || '|' || \"ref\" k FROM (SELECT DISTINCT graph_id, CASE WHEN sw THEN r ELSE s END s, CASE WHEN sw THEN s ELSE r END r, CASE WHEN sw THEN ref ELSE subj END subj, pos, CASE WHEN sw THEN subj ELSE ref END \"ref\" FROM (SELECT *, subj > ref OR (subj = ref AND s > r) sw FROM t WHERE s <> r))) SELECT labels, e[1]", 1)
 
 
-@query()
+@query("""SELECT '[["' || subj || '","' || "ref" || '"],[[0,"' || pos || '",1]]]' AS code, sup, 2 n_nodes, 1 n_edges FROM f1""")
 def fsm_k(spark, d):
-    return _mined(spark, d, None)[1].patterns
+    return _mined(spark, d, None)[1].patterns.select("code", "sup", "n_nodes", "n_edges")
 
 
 @query()
@@ -112,13 +113,13 @@ def fsm_compressing(spark, d):
 @query("SELECT m.x minsup, count(sup) patterns FROM (SELECT unnest([30, 60, 120]) x) m LEFT JOIN f1 ON sup >= x GROUP BY 1")
 def fsm_sweep(spark, d):
     g = cut_graphs(pruned(spark, d))
-    return M.sweep(g, [30, 60, 120], max_edges=1).select("minsup", "patterns")
+    return M.sweep(g, [30, 60, 120]).select("minsup", "patterns")
 
 
 @query("""SELECT labels, sup FROM (SELECT DISTINCT first_value(subj) OVER w a, first_value("ref") OVER w b, first_value(sup) OVER w sup, CASE WHEN subj = "ref" THEN subj ELSE subj || ',' || "ref" END labels FROM f1 WINDOW w AS (PARTITION BY subj, "ref" ORDER BY sup DESC)) i
     WHERE NOT EXISTS (SELECT 1 FROM f1 j WHERE i.a = i.b AND j.subj <> j."ref" AND i.a IN (j.subj, j."ref") AND (SELECT max(sup) FROM f1 k WHERE k.subj = j.subj AND k."ref" = j."ref") <= i.sup)""")
 def maximal_itemsets(spark, d):
-    _, p = _mined(spark, d, 1)
+    _, p = _mined(spark, d, None)
     return M.maximal_itemsets(p.patterns, p.nodes).select(F.array_join("labels", ",").alias("labels"), "sup")
 
 
@@ -141,9 +142,9 @@ def coverage_2edge(spark, d):
     return C.coverage(g, keep(p.nodes), keep(p.edges)).where("cnt > 0")
 
 
-# the 20 patterns of greatest support of each run in the table sgs, its deliveries once
+# the patterns of each run in the table sgs, their deliveries once
 _RUNS = """WITH s0 AS (SELECT run_name, g.graph.name id, max(coalesce(sup, 0)) sup, arg_max(g.nodes, loaded_at) nodes, arg_max(g.links, loaded_at) links FROM sgs GROUP BY ALL),
-    s AS (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY sup DESC, id) k FROM s0 QUALIFY k <= 20),
+    s AS (SELECT * FROM s0),
     nl AS (SELECT run_name, id, x.id node, nullif(trim(regexp_replace(lower(x.label), '[^a-z0-9]+', ' ', 'g')), '') label FROM (SELECT run_name, id, unnest(nodes) x FROM s)),
     el AS (SELECT run_name, id, x.s s, x.r r, nullif(trim(regexp_replace(lower(x.pos), '[^a-z0-9]+', ' ', 'g')), '') pos FROM (SELECT run_name, id, unnest(links) x FROM s)),
     it AS ({items}), l AS (SELECT s.run_name, s.id, coalesce(list(DISTINCT item) FILTER (item IS NOT NULL), []) l FROM s LEFT JOIN it ON it.run_name = s.run_name AND it.id = s.id GROUP BY ALL)
@@ -151,13 +152,10 @@ _RUNS = """WITH s0 AS (SELECT run_name, g.graph.name id, max(coalesce(sup, 0)) s
     FROM l a JOIN l b ON a.run_name = b.run_name AND a.id < b.id GROUP BY 1"""
 
 
-def _runs(spark, d, k: int | None = 20):
-    """(run_name, id, nodes, links) of the k leading patterns of each run (None: of all)."""
-    from pyspark.sql import Window
-
-    rows = spark.read.parquet(f"{d}/sgs.parquet").groupBy("run_name", F.col("g.graph.name").alias("id")).agg(F.max(F.coalesce("sup", F.lit(0))).alias("sup"), F.max_by("g.nodes", "loaded_at").alias("nodes"), F.max_by("g.links", "loaded_at").alias("links"))
-    top = rows if k is None else rows.withColumn("k", F.row_number().over(Window.partitionBy("run_name").orderBy(F.desc("sup"), "id"))).where(F.col("k") <= k)
-    return cut(top.select("run_name", "id", "nodes", "links"))
+def _runs(spark, d):
+    """(run_name, id, nodes, links) of the patterns of each run."""
+    rows = spark.read.parquet(f"{d}/sgs.parquet").groupBy("run_name", F.col("g.graph.name").alias("id")).agg(F.max_by("g.nodes", "loaded_at").alias("nodes"), F.max_by("g.links", "loaded_at").alias("links"))
+    return cut(rows)
 
 
 def _diversity_nodes(runs):
@@ -175,26 +173,14 @@ def _diversity_edges(runs):
 
 @query()
 def diversity_nodes(spark, d):
-    """Of the 20 patterns of greatest support of each run, as its SQL says; diversity_nodes_whole has all."""
     return _diversity_nodes(_runs(spark, d))
 
 
 @query()
 def diversity_edges(spark, d):
-    """Of the 20 patterns of greatest support of each run, as its SQL says; diversity_edges_whole has all."""
     return _diversity_edges(_runs(spark, d))
 
 
-@query()
-def diversity_nodes_whole(spark, d):
-    return _diversity_nodes(_runs(spark, d, None))
-
-
-@query()
-def diversity_edges_whole(spark, d):
-    return _diversity_edges(_runs(spark, d, None))
-
-
 ORACLE["diversity_nodes"] = _RUNS.replace("{items}", "SELECT run_name, id, label item FROM nl WHERE label IS NOT NULL")
 ORACLE["diversity_edges"] = _RUNS.replace("{items}", "SELECT el.run_name, el.id, a.label || '|' || pos || '|' || b.label item FROM el JOIN nl a ON a.run_name = el.run_name AND a.id = el.id AND a.node = s JOIN nl b ON b.run_name = el.run_name AND b.id = el.id AND b.node = r WHERE pos IS NOT NULL AND a.label IS NOT NULL AND b.label IS NOT NULL")
 
@@ -206,16 +192,10 @@ ORACLE["diversity_edges"] = _RUNS.replace("{items}", "SELECT el.run_name, el.id,
     round_even((SELECT count(*) FROM (SELECT graph_id FROM cells GROUP BY 1 HAVING max(cnt) > 0)) / (SELECT count(*) FROM g), 2) coverage,
     round_even((SELECT sum(o) FROM (SELECT max(overlap) o FROM cells GROUP BY graph_id)) / (SELECT count(*) FROM g), 2) coverage_overlap, round_even((SELECT x FROM dv), 2) diversity, 1.0::DOUBLE diversity_ne""")
 def summary_metrics(spark, d):
-    g, p, cells = _cells(spark, d)
+    g, p, cells = _cells(spark, d, None)
     return V.summary(g, p.patterns, p.nodes, p.edges, cells)
 
 
-@query("""SELECT subj, pos, "ref", graph_id FROM (SELECT subj, pos, "ref", graph_id, row_number() OVER (PARTITION BY pid ORDER BY graph_id)::INT k FROM cells WHERE cnt > 0) WHERE k <= 3""")
-def first_match_1edge(spark, d):
-    g, p = _mined(spark, d, 1)
-    return C.first_matches(g, p.nodes, p.edges, 3).join(_named(p).drop("sup"), "pattern_id").select("subj", "pos", "ref", "graph_id")
-
-
 @query()
 def summary_all(spark, d):
     g, p, cells = _cells(spark, d, None)
@@ -224,11 +204,11 @@ def summary_all(spark, d):
 
 @query(""", sz AS (SELECT graph_id, count(*) n FROM n GROUP BY 1), c AS (SELECT pid, subj, pos, "ref", graph_id, n FROM cells JOIN sz USING (graph_id) WHERE cnt > 0),
     m AS (SELECT *, round(abs(n - avg(n) OVER (PARTITION BY pid)), 9) k FROM c)
-    SELECT subj, pos, "ref", graph_id FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY k, graph_id) i FROM m) WHERE i = 1""")
+    SELECT '[["' || subj || '","' || "ref" || '"],[[0,"' || pos || '",1]]]' AS code, graph_id FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY k, graph_id) i FROM m) WHERE i = 1""")
 def image_pairing(spark, d):
-    _, p, cells = _cells(spark, d)
+    _, p, cells = _cells(spark, d, None)
     sizes = load(spark, d).nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-    return V.represent(cells, sizes).join(_named(p), "pattern_id").select("subj", "pos", "ref", "graph_id")
+    return V.represent(cells, sizes).join(p.patterns, "pattern_id").select("code", "graph_id")
 
 
 @query("""SELECT min(k)::INT group_no, graph_id FROM (SELECT graph_id, CASE label WHEN 'rowboat' THEN 0 WHEN 'tram' THEN 1 WHEN 'kettle' THEN 2 END k FROM n) WHERE k IS NOT NULL GROUP BY graph_id""")
@@ -236,41 +216,16 @@ def subset_by_label(spark, d):
     return V.subset_by_labels(load(spark, d).nodes, [["rowboat"], ["tram"], ["kettle"]])
 
 
-@query()
+@query("""SELECT '[["' || subj || '","' || "ref" || '"],[[0,"' || pos || '",1]]]' AS code, graph_id FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY graph_id) k FROM cells WHERE cnt > 0) WHERE k <= 3""")
 def first_match(spark, d):
     g, p = _mined(spark, d, None)
-    return C.first_matches(g, p.nodes, p.edges, 3)
-
+    return C.first_matches(g, p.nodes, p.edges, 3).join(p.patterns, "pattern_id").select("code", "graph_id")
 
-# the same over patterns of any number of edges, which the SQL above can't follow
 
-
-@query()
-def fsm_sweep_whole(spark, d):
-    return M.sweep(cut_graphs(pruned(spark, d)), [30, 60, 120])
-
-
-@query()
-def maximal_itemsets_whole(spark, d):
-    _, p = _mined(spark, d, None)
-    return M.maximal_itemsets(p.patterns, p.nodes).select(F.array_join("labels", ",").alias("labels"), "sup")
-
-
-@query()
+@query("""SELECT '[["' || subj || '","' || "ref" || '"],[[0,"' || pos || '",1]]]' AS code, graph_id, cnt, round(overlap, 6) overlap FROM cells""")
 def coverage_whole(spark, d):
-    return rounded(_cells(spark, d, None)[2], "overlap")
-
-
-@query()
-def summary_metrics_whole(spark, d):
-    g, p, cells = _cells(spark, d, None)
-    return V.summary(g, p.patterns, p.nodes, p.edges, cells)
-
-
-@query()
-def image_pairing_whole(spark, d):
-    _, _, cells = _cells(spark, d, None)
-    return V.represent(cells, load(spark, d).nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")))
+    _, p, cells = _cells(spark, d, None)
+    return rounded(cells.join(p.patterns, "pattern_id").select("code", "graph_id", "cnt", "overlap"), "overlap")
 
 
 ORACLE["caption_search"] = "SELECT doc_id, term, md5(text) digest FROM documents, (SELECT unnest(['import', 'histogram', 'sensor']) term) WHERE contains(text, term)"

@@ -177,11 +177,20 @@ def box_iou(spark, d):
     return rounded(V.box_overlaps(b.where("id % 2 = 0"), b.where("id % 2 = 1"), "image_id"), "iou")
 
 
-@query()
+# greedy matching by falling score: the free object of its class that a prediction overlaps most; then the curve's area
+@query(f"""{_BOXES}, pr AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) k FROM bx WHERE id % 2 = 0), tr AS (SELECT * FROM bx WHERE id % 2 = 1), tn AS (SELECT image_id, count(*) n FROM tr GROUP BY 1),
+    io AS (SELECT image_id, k, gt, h * w / (sa + sb - h * w) iou FROM (SELECT a.image_id, a.k, b.id gt, least(a.y2, b.y2) - greatest(a.y1, b.y1) h, least(a.x2, b.x2) - greatest(a.x1, b.x1) w, (a.y2 - a.y1) * (a.x2 - a.x1) sa, (b.y2 - b.y1) * (b.x2 - b.x1) sb
+        FROM pr a JOIN tr b ON a.image_id = b.image_id AND a.class_id = b.class_id) WHERE h > 0 AND w > 0),
+    th AS (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE t), ov AS (SELECT t, io.* FROM io JOIN th ON iou >= t), la AS (SELECT t, image_id, max(k) n FROM pr, th GROUP BY ALL),
+    s(t, image_id, k, used) AS (SELECT t, image_id, 0::BIGINT, []::BIGINT[] FROM la UNION ALL
+        SELECT s.t, s.image_id, s.k + 1, list_append(s.used, (SELECT arg_min(gt, (-iou, gt)) FROM ov WHERE ov.t = s.t AND ov.image_id = s.image_id AND ov.k = s.k + 1 AND NOT coalesce(list_contains(s.used, gt), false))) FROM s JOIN la ON la.t = s.t AND la.image_id = s.image_id AND s.k < la.n),
+    hi AS (SELECT t, image_id, unnest(range(1, len(used) + 1)) k, (unnest(used) IS NOT NULL)::INT hit FROM (SELECT s.* FROM s JOIN la ON la.t = s.t AND la.image_id = s.image_id AND s.k = la.n)),
+    tp AS (SELECT *, sum(hit) OVER (PARTITION BY t, image_id ORDER BY k) tp FROM hi), pc AS (SELECT *, max(tp / k) OVER (PARTITION BY t, image_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) p FROM tp)
+    SELECT t threshold, image_id, round(sum(hit * p) / any_value(n), 6) ap, round(max(tp) / any_value(n), 6) recall FROM pc JOIN tn USING (image_id) GROUP BY t, image_id""".replace("WITH sg", "WITH RECURSIVE sg", 1))
 def ap_curve(spark, d):
     b = cut(boxes(spark, d))
     p, t = b.where("id % 2 = 0"), b.where("id % 2 = 1")
-    return V.average_precision_range(p, t, cut(V.box_overlaps(p, t, "image_id")), [0.1, 0.3, 0.5])
+    return rounded(V.average_precision_range(p, t, cut(V.box_overlaps(p, t, "image_id")), [0.1, 0.3, 0.5]), "ap", "recall")
 
 
 @query(f"{_BOXES} SELECT id, image_id, round(y1 / 499.0, 6) y1, round(x1 / 499.0, 6) x1, round((y2 - 1) / 499.0, 6) y2, round((x2 - 1) / 499.0, 6) x2 FROM bx")

@@ -259,8 +259,8 @@ def test_whole_runs_are_compared(spark, tmp_path):
     rows = [("run", 99 - i, 1, ((f"p{i:02}",), [(0, "a"), (1, "b" if i < 20 else "c")], [(0, "on", 1)])) for i in range(25)]
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/sgs.parquet")
     differ = 20 * 5 / 300  # of the pairs
-    assert QUERIES["diversity_nodes_whole"](spark, str(tmp_path)).first()["diversity"] == pytest.approx(differ * 2 / 3, abs=1e-6)
-    assert QUERIES["diversity_edges_whole"](spark, str(tmp_path)).first()["diversity"] == pytest.approx(differ, abs=1e-6)
+    assert QUERIES["diversity_nodes"](spark, str(tmp_path)).first()["diversity"] == pytest.approx(differ * 2 / 3, abs=1e-6)
+    assert QUERIES["diversity_edges"](spark, str(tmp_path)).first()["diversity"] == pytest.approx(differ, abs=1e-6)
 
 
 def test_summaries_hold_patterns_of_any_size(spark, monkeypatch):
@@ -272,10 +272,10 @@ def test_summaries_hold_patterns_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(Q, "pruned", lambda spark, d: path)
     monkeypatch.setattr(Q, "load", lambda spark, d: path)
     run = lambda name: Q.QUERIES[name](spark, "").collect()
-    assert run("summary_all")[0]["n_graphs"] == run("summary_metrics_whole")[0]["n_graphs"] == 3
-    assert len({x["pattern_id"] for x in run("first_match")}) == len({x["pattern_id"] for x in run("image_pairing_whole")}) == 3
-    assert [tuple(x) for x in run("maximal_itemsets_whole")] == [("a,b,c", 30)] and len(run("coverage_whole")) == 90
-    assert {x["minsup"]: x["patterns"] for x in run("fsm_sweep_whole")} == {30: 3, 60: 0, 120: 0}
+    assert run("summary_all")[0]["n_graphs"] == run("summary_metrics")[0]["n_graphs"] == 3
+    assert len({x["code"] for x in run("first_match")}) == len({x["code"] for x in run("image_pairing")}) == 3
+    assert [tuple(x) for x in run("maximal_itemsets")] == [("a,b,c", 30)] and len(run("coverage_whole")) == 90
+    assert {x["minsup"]: x["patterns"] for x in run("fsm_sweep")} == {30: 3, 60: 0, 120: 0}
 
 
 def test_medoid_far_from_the_mean(spark):
