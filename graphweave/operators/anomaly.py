@@ -52,8 +52,8 @@ def threshold_curve(scores: DataFrame, score: str, positive: str, low: float = 0
     spark = scores.sparkSession
     width = (high - low) / steps
     rows = scores.where(F.col(score).isNotNull()).select(F.col(score).alias("x"), F.col(positive).alias("y"))
-    # called positive from threshold number k on, where low + k * width > x
-    step = F.greatest(F.lit(0), F.floor((F.col("x") - low) / width).cast("int") + 1)
+    # called positive from threshold number k on, where low + k * width > x; what differs from a threshold by rounding only is equal to it
+    step = F.greatest(F.lit(0), F.floor(F.round((F.col("x") - low) / width, 9)).cast("int") + 1)
     step = F.when(F.col("x") < low, 0).otherwise(step)
     counts = rows.groupBy(step.alias("k")).agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n"))
     total = rows.agg(F.count_if("y")).scalar()

@@ -149,7 +149,8 @@ _RUNS = """WITH s0 AS (SELECT run_name, g.graph.name id, max(coalesce(sup, 0)) s
     el AS (SELECT run_name, id, x.s s, x.r r, nullif(trim(regexp_replace(lower(x.pos), '[^a-z0-9]+', ' ', 'g')), '') pos FROM (SELECT run_name, id, unnest(links) x FROM s)),
     it AS ({items}), l AS (SELECT s.run_name, s.id, coalesce(list(DISTINCT item) FILTER (item IS NOT NULL), []) l FROM s LEFT JOIN it ON it.run_name = s.run_name AND it.id = s.id GROUP BY ALL)
     SELECT a.run_name, round(avg(CASE WHEN len(a.l) > 0 AND len(b.l) > 0 THEN 1 - len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))) ELSE 0 END), 6) diversity
-    FROM l a JOIN l b ON a.run_name = b.run_name AND a.id < b.id GROUP BY 1"""
+    FROM l a JOIN l b ON a.run_name = b.run_name AND a.id < b.id GROUP BY 1
+    UNION ALL SELECT run_name, max(len(l) > 0)::INT::DOUBLE FROM l GROUP BY 1 HAVING count(*) = 1"""
 
 
 def _runs(spark, d):

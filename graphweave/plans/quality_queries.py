@@ -185,7 +185,7 @@ def box_iou(spark, d):
     s(t, image_id, k, used) AS (SELECT t, image_id, 0::BIGINT, []::BIGINT[] FROM la UNION ALL
         SELECT s.t, s.image_id, s.k + 1, list_append(s.used, (SELECT arg_min(gt, (-iou, gt)) FROM ov WHERE ov.t = s.t AND ov.image_id = s.image_id AND ov.k = s.k + 1 AND NOT coalesce(list_contains(s.used, gt), false))) FROM s JOIN la ON la.t = s.t AND la.image_id = s.image_id AND s.k < la.n),
     hi AS (SELECT t, image_id, unnest(range(1, len(used) + 1)) k, (unnest(used) IS NOT NULL)::INT hit FROM (SELECT s.* FROM s JOIN la ON la.t = s.t AND la.image_id = s.image_id AND s.k = la.n)),
-    tp AS (SELECT *, sum(hit) OVER (PARTITION BY t, image_id ORDER BY k) tp FROM hi), pc AS (SELECT *, max(tp / k) OVER (PARTITION BY t, image_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) p FROM tp)
+    tq AS (SELECT *, sum(hit) OVER (PARTITION BY t, image_id ORDER BY k) tp FROM hi), pc AS (SELECT *, max(tp / k) OVER (PARTITION BY t, image_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) p FROM tq)
     SELECT t threshold, image_id, round(sum(hit * p) / any_value(n), 6) ap, round(max(tp) / any_value(n), 6) recall FROM pc JOIN tn USING (image_id) GROUP BY t, image_id""".replace("WITH sg", "WITH RECURSIVE sg", 1))
 def ap_curve(spark, d):
     b = cut(boxes(spark, d))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphweave.model import GRAPH, Graphs, flatten_graphs, nest
+from graphweave.session import cut, lookup
+
+#: Lines of a miner's file that one task numbers.
+LINES = 1 << 20
 
 
 def _ddl(struct: str) -> str:
@@ -88,9 +92,14 @@ def label_codes(g: Graphs) -> DataFrame:
 def parse_miner_text(lines: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(patterns, nodes, edges) from lines (file, no, line) of miner output: 't # i * sup', 'v id label', 'e s r label'.
 
-    lines of one file are numbered; a file's blocks follow from a running count of 't' lines."""
-    up = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = lines.withColumn("p", F.split(F.trim("line"), r"\s+")).withColumn("block", F.sum((F.col("p")[0] == "t").cast("int")).over(up)).where("block > 0")
+    lines of one file are numbered; a file's blocks follow from running counts of 't' lines, within parts of LINES lines
+    and over the parts' totals, so that no task gets a whole file."""
+    x = lines.withColumn("p", F.split(F.trim("line"), r"\s+")).withColumn("part", F.floor(F.col("no") / LINES)).withColumn("t", (F.col("p")[0] == "t").cast("bigint"))
+    totals = cut(x.groupBy("file", "part").agg(F.sum("t").alias("n")))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    up = Window.partitionBy("file", "part").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = lookup(x, starts, ["file", "part"], totals.count()).withColumn("block", F.col("first") + F.sum("t").over(up)).where("block > 0")
     key = F.struct("file", "block").alias("pattern")
     patterns = x.where(F.col("p")[0] == "t").where(F.get("p", F.lit(2)) != "-1").select(key, F.get("p", F.lit(4)).cast("bigint").alias("sup"))
     c = codes.select(F.col("code").cast("string").alias("code"), "name")
