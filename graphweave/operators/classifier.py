@@ -42,7 +42,7 @@ def macro_f1(table: DataFrame) -> float:
 class MacroF1(Evaluator):
     """Unweighted mean of the classes' F1."""
 
-    def __init__(self, label: str = "y", prediction: str = "prediction"):
+    def __init__(self, label: str = "__y", prediction: str = "prediction"):
         super().__init__()
         self.label, self.prediction = label, prediction
 
@@ -87,7 +87,7 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def _prepare(features: list[str], label: str) -> list:
-    return [VectorAssembler(inputCols=features, outputCol="x", handleInvalid="keep"), StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc")]
+    return [VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc")]
 
 
 def select_model(
@@ -97,9 +97,9 @@ def select_model(
     """(model, params, macro_f1) by cross-validation: nearest neighbours (with a key column), decision trees, random forests, and linear SVMs one
     against the rest in place of kernel SVMs. Trees reach the engine's greatest depth, 30."""
     prep = Pipeline(stages=_prepare(features, label)).fit(df)
-    data = cut(prep.transform(df).select("x", "y"))
-    dt, rf = DecisionTreeClassifier(featuresCol="x", labelCol="y", seed=seed), RandomForestClassifier(featuresCol="x", labelCol="y", seed=seed)
-    svc = OneVsRest(classifier=LinearSVC(featuresCol="x", labelCol="y", maxIter=20), featuresCol="x", labelCol="y")
+    data = cut(prep.transform(df).select("__x", "__y"))
+    dt, rf = DecisionTreeClassifier(featuresCol="__x", labelCol="__y", seed=seed), RandomForestClassifier(featuresCol="__x", labelCol="__y", seed=seed)
+    svc = OneVsRest(classifier=LinearSVC(featuresCol="__x", labelCol="__y", maxIter=20), featuresCol="__x", labelCol="__y")
     grids = {
         "tree": (dt, ParamGridBuilder().addGrid(dt.maxDepth, list(depths)).build()),
         "forest": (rf, ParamGridBuilder().addGrid(rf.maxDepth, list(depths)).addGrid(rf.numTrees, list(trees)).build()),
@@ -144,7 +144,8 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, features: li
                 np.add.at(votes, (np.arange(len(near))[:, None], codes[near]), np.isfinite(np.take_along_axis(d, near, axis=1)))
                 picked[at : at + 512] = np.where(votes.sum(axis=1) > 0, votes.argmax(axis=1), -1) if len(classes) else -1
             ok = picked >= 0
-            yield pd.DataFrame({key: own[ok], "predicted": classes[picked[ok]]})
+            if ok.any():
+                yield pd.DataFrame({key: own[ok], "predicted": classes[picked[ok]]})
 
     rows = test.select(key, *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)])
     return rows.mapInPandas(run, f"`{key}` {kinds[key]}, predicted {kinds[label]}")
@@ -175,7 +176,7 @@ def leave_one_out(df: DataFrame, key: str, features: list[str], label: str, mode
 
 
 def _model(name: str, params: dict, seed: int):
-    common = {"featuresCol": "x", "labelCol": "y"}
+    common = {"featuresCol": "__x", "labelCol": "__y"}
     if name == "tree":
         return DecisionTreeClassifier(seed=seed, **common, **params)
     if name == "forest":
@@ -189,7 +190,7 @@ def final_model(df: DataFrame, features: list[str], label: str, depth: int = 10,
     """Random forest over the features; transform adds predicted_label."""
     stages = _prepare(features, label)
     indexer = stages[1].fit(df)
-    forest = RandomForestClassifier(featuresCol="x", labelCol="y", maxDepth=depth, numTrees=trees, seed=seed)
+    forest = RandomForestClassifier(featuresCol="__x", labelCol="__y", maxDepth=depth, numTrees=trees, seed=seed)
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
     return Pipeline(stages=[stages[0], indexer, forest, back]).fit(df)
 
