@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +15,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def _own_folder() -> str:
+    """A temporary folder, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="graphweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); on a local master, where it is unset, a temporary one.
 
@@ -22,8 +31,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphweave-"))
-        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        sc.setCheckpointDir(shared or _own_folder())
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return sc.getCheckpointDir()
 
 

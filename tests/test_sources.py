@@ -102,3 +102,26 @@ def test_small_graph_helpers(spark):
 def test_dense_ids(spark, n):
     rows = dense_ids(spark.range(n).selectExpr("id * 7 % 5003 AS k"), [F.asc("k")], "i").orderBy("k").collect()
     assert [x["i"] for x in rows] == list(range(n))
+
+
+def test_checkpoints_go_when_unused(spark):
+    import gc
+    import time
+    from pathlib import Path
+
+    from graphweave.session import checkpoint_dir, cut
+
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    kept = cut(spark.range(50).selectExpr("id * 2 AS x"))
+    before = {p.name for p in folder.iterdir()}
+    dropped = cut(spark.range(60))
+    new = {p.name for p in folder.iterdir()} - before
+    assert len(new) == 1
+    del dropped
+    for _ in range(40):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+        if not new & {p.name for p in folder.iterdir()}:
+            break
+    assert not new & {p.name for p in folder.iterdir()} and kept.agg({"x": "sum"}).first()[0] == 2450
