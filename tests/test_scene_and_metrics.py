@@ -137,6 +137,33 @@ def test_ranks_against_sorting(spark):
         assert near["graph_id"] == order[0]
 
 
+def _many(spark):
+    r = random.Random(8)
+    items = {f"g{g:03}": {*r.sample("abcdef", r.randint(0, 3)), *(f"x{r.randint(0, 150)}" for _ in range(r.randint(0, 3)))} for g in range(400)}
+    rows = [(g, x) for g, s in items.items() for x in s]
+    return items, spark.createDataFrame([(g,) for g in items], "graph_id string"), spark.createDataFrame(rows + rows[:50], "graph_id string, item string")
+
+
+def _no_pairs(monkeypatch):
+    def never(*_):
+        raise AssertionError("a row for each graph that a query meets")
+
+    monkeypatch.setattr(retrieval, "shared", never)
+    monkeypatch.setattr(retrieval, "GROUP", 150)
+    monkeypatch.setattr(retrieval, "LEAST_CHUNK", 100)
+
+
+def test_ranks_come_from_counts_of_chunks(spark, monkeypatch):
+    _no_pairs(monkeypatch)
+    items, graphs, df = _many(spark)
+    queries = graphs.where("graph_id < 'g200'")
+    pairs = [(f"g{q:03}", f"g{(q + k) % 400:03}") for q in range(0, 200, 9) for k in (1, 2, 250)]
+    ranked = retrieval.ranks(queries, graphs, df, spark.createDataFrame(pairs, "query_id string, partner_id string")).collect()
+    got = {(x["query_id"], x["partner_id"]): x["place"] for x in ranked}
+    order = {q: sorted((g for g in items if g != q), key=lambda g: (-len(items[q] & items[g]), g)) for q, _ in pairs}
+    assert len(ranked) == len(got) and got == {(q, p): order[q].index(p) for q, p in pairs}
+
+
 def test_relationship_graphs(spark):
     a, b, c = ([1, 2], "man"), ([3, 4], "dog"), ([1, 2], "boy")
     df = spark.createDataFrame([(1, [(a, b, "near"), (b, c, "by"), (a, b, "on")]), (2, [])], "graph_id bigint, relationships array<struct<subject:struct<bbox:array<int>,category:string>,object:struct<bbox:array<int>,category:string>,predicate:string>>")
