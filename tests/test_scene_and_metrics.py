@@ -164,6 +164,14 @@ def test_ranks_come_from_counts_of_chunks(spark, monkeypatch):
     assert len(ranked) == len(got) and got == {(q, p): order[q].index(p) for q, p in pairs}
 
 
+def test_nearest_comes_from_bests_of_chunks(spark, monkeypatch):
+    _no_pairs(monkeypatch)
+    items, graphs, df = _many(spark)
+    got = {x["query_id"]: (x["graph_id"], x["distance"]) for x in retrieval.nearest(graphs, graphs, df).collect()}
+    best = {q: min((-len(items[q] & items[g]), g) for g in items if g != q) for q in items}
+    assert got == {q: (g, d) for q, (d, g) in best.items()}
+
+
 def test_relationship_graphs(spark):
     a, b, c = ([1, 2], "man"), ([3, 4], "dog"), ([1, 2], "boy")
     df = spark.createDataFrame([(1, [(a, b, "near"), (b, c, "by"), (a, b, "on")]), (2, [])], "graph_id bigint, relationships array<struct<subject:struct<bbox:array<int>,category:string>,object:struct<bbox:array<int>,category:string>,predicate:string>>")
