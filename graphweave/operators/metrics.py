@@ -179,11 +179,20 @@ def disparity_to_depth(disparity: Column, low: float = 0.1, high: float = 100.0)
     return scaled, 1 / scaled
 
 
+def _steady_avg(x: str) -> Column:
+    """Average to 12 digits of values from -1 to 1 that doesn't depend on the order of the rows: their first nine digits are summed as integers, exactly.
+
+    Values of more than nine digits add what is left as doubles, others (and nan) are summed as such."""
+    v = F.col(x).cast("double")
+    whole = F.when(F.abs(v) <= 1, F.rint(v * 1e9).cast("bigint")).otherwise(F.when(v.isNotNull(), 0))
+    return F.round((F.sum(whole) / 1e9 + F.sum(v - whole / 1e9)) / F.count(v), 12)
+
+
 def top_labels(probabilities: DataFrame, key: list[str], group: list[str], k: int) -> DataFrame:
     """(group, label, avg_prob) of the k most probable labels of each pixel (key), averaged over the group; those that round to 0.000 are dropped."""
     order = Window.partitionBy(*key).orderBy(F.desc("prob"), "label")
     top = probabilities.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
-    return top.groupBy(*group, "label").agg(F.avg("prob").alias("avg_prob")).where(F.bround("avg_prob", 3) > 0)
+    return top.groupBy(*group, "label").agg(_steady_avg("prob").alias("avg_prob")).where(F.bround("avg_prob", 3) > 0)
 
 
 def result_records(detections: DataFrame) -> DataFrame:

@@ -137,6 +137,18 @@ def test_ranks_against_sorting(spark):
         assert near["graph_id"] == order[0]
 
 
+def test_averages_of_top_labels_round_as_the_exact_ones(spark):
+    r = random.Random(9)
+    rows = [(g, p, 1, r.randint(0, 10)) for g in range(400) for p in range(64)]
+    df = spark.createDataFrame([(g, p, label, n / 100) for g, p, label, n in rows], "g int, p int, label int, prob double")
+    for parts in (1, 7):
+        got = metrics.top_labels(df.repartition(parts), ["g", "p"], ["g"], 2).select("g", F.round("avg_prob", 6)).collect()
+        # half a millionth rounds up: whole numbers of hundredths over 64
+        assert dict(map(tuple, got)) == {g: (sum(n for x, _, _, n in rows if x == g) * 20_000 + 64) // 128 / 1e6 for g in range(400)}
+    odd = spark.createDataFrame([(1, 1, 1, float("nan")), (2, 1, 1, 3.5), (2, 2, 1, 0.5), (3, 1, 1, None)], "g int, p int, label int, prob double")
+    assert {x["g"]: str(x["avg_prob"]) for x in metrics.top_labels(odd, ["g", "p"], ["g"], 2).collect()} == {1: "nan", 2: "2.0"}
+
+
 def _many(spark):
     r = random.Random(8)
     items = {f"g{g:03}": {*r.sample("abcdef", r.randint(0, 3)), *(f"x{r.randint(0, 150)}" for _ in range(r.randint(0, 3)))} for g in range(400)}
