@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.llm.align import FOUND_DDL, MORE, PASSAGE, REGION_DDL, SLICE_DDL, SPAN, aligned, by_pair, slices
+from graphweave.llm.align import FOUND_DDL, LEAST_ANCHORS, MORE, PASSAGE, REGION_DDL, SLICE_DDL, SPAN, aligned, by_pair, slices
 from graphweave.session import BROADCAST_ROWS, cut, lookup, parallelism, small_batches
 
 #: Characters of a seed, or four fifths of min_len if that is less.
@@ -167,7 +167,7 @@ _MATCH_DDL = "a bigint, b bigint, pa int, pb int, size int, sure boolean, h bigi
 
 
 def _matches(size: int, hot_texts: int):
-    """Rows of _SEED in order of (grp, h): pairs of occurrences in different texts; occurrences of hot seeds come out with b null, their hash as h and the half windows' as pb and size.
+    """Rows of _SEED in order of (grp, h): pairs of occurrences in different texts; occurrences of hot seeds come out with b null, their hash as h, the half windows' as pb and size, and sure unless they are later seeds of a stretch.
 
     A match is sure if the half window before or after it agrees too: of a common window of min_len one half does.
     Of two repetitive stretches the first seed of each meets all of the other, with the length for which both go on: a
@@ -185,7 +185,7 @@ def _matches(size: int, hot_texts: int):
             real = q < 2
             texts = len(np.unique(d[real]))
             if q.max() >= 4 or texts > hot_texts:
-                out.append((d[real], None, p[real], lf[real], rg[real], h[s][real]))
+                out.append((d[real], None, p[real], lf[real], rg[real], h[s][real], q[real] & 1 == 0))
             elif texts > 1:
                 order = np.lexsort((p, d))
                 d, p, q, lf, rg = d[order], p[order], q[order], lf[order], rg[order]
@@ -205,14 +205,14 @@ def _matches(size: int, hot_texts: int):
                         out, waiting = [], 0
         past = kind & 2 != 0
         if past.any():
-            out.append((doc[past], None, pos[past], left[past], right[past], h[past]))
+            out.append((doc[past], None, pos[past], left[past], right[past], h[past], kind[past] & 1 == 0))
         yield from rows(out)
 
     def rows(out):
         cols = [[] for _ in _MATCH]
-        for a, b, u, v, n, last in out:  # last: whether sure, of hot occurrences the hash
+        for a, b, u, v, n, last, *lead in out:  # last: whether sure, of hot occurrences the hash
             none = pa.nulls(len(a), pa.int64())
-            row = (pa.array(a), none, pa.array(u), pa.array(v), pa.array(n), pa.array(np.ones(len(a), bool)), pa.array(last)) if b is None else (pa.array(a), pa.array(b), pa.array(u), pa.array(v), pa.array(n), pa.array(last), none)
+            row = (pa.array(a), none, pa.array(u), pa.array(v), pa.array(n), pa.array(*lead), pa.array(last)) if b is None else (pa.array(a), pa.array(b), pa.array(u), pa.array(v), pa.array(n), pa.array(last), none)
             for c, x in zip(cols, row):
                 c.append(x)
         if out:
@@ -231,7 +231,7 @@ def _matches(size: int, hot_texts: int):
             held = [x[cut_at:] for x in cols]
             if len(held[0]) > 4096 and len(np.unique(held[2])) > hot_texts:  # a hot group: pass it on and remember
                 real = held[4] < 2
-                yield from rows([(held[2][real], None, held[3][real], held[5][real], held[6][real], held[1][real])])
+                yield from rows([(held[2][real], None, held[3][real], held[5][real], held[6][real], held[1][real], held[4][real] & 1 == 0)])
                 none = np.array([-1], np.int32)
                 held = [held[0][:1], held[1][:1], np.array([-1]), none, np.array([4], np.int8), none, none]
         if held is not None and len(held[0]):
@@ -271,8 +271,8 @@ class SharedSpans:
     Method: shared seeds of seed_len characters are joined by hash; the matches of a pair of texts are chained with gap
     costs through a Fenwick tree; of each chain that may hold a span of min_len, or has several seeds, both texts' characters are
     fetched and aligned: seeds are compared character by character and extended until the texts differ, gaps are aligned
-    by edit distance, ends grow over single differences. Exact spans are complete (see the module's text). A passage needs
-    a seed in at most hot_texts texts, or a longer window, that both texts have in common."""
+    by edit distance, ends grow over single differences. Exact spans are complete (see the module's text). For
+    passages the seeds in more than hot_texts texts are matched too, in all pairs of texts that may have a chain of them."""
 
     def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", min_len: int = 250, seed_len: int | None = None, hot_texts: int = HOT_TEXTS, identity: float = 0.8):
         self.min_len = min_len
@@ -283,7 +283,7 @@ class SharedSpans:
         self.hot_texts, self.identity = hot_texts, identity
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= min_len))
-        self._aligned: dict[bool, DataFrame] = {}
+        self._aligned: dict[tuple[bool, bool], DataFrame] = {}
 
     @cached_property
     def members(self) -> DataFrame:
@@ -318,15 +318,21 @@ class SharedSpans:
         return self._texts_for(places).select("doc", "text", "at")
 
     @cached_property
-    def _found(self) -> tuple[DataFrame, DataFrame | None]:
-        """(matches of seeds in few texts, all windows of min_len around the others)."""
+    def _seeded(self) -> tuple[DataFrame, DataFrame]:
+        """(matches of seeds in few texts, occurrences of those in many)."""
         with small_batches(self.spark):
             texts, drop = self._representatives
             rows = texts.select("doc", "text").mapInArrow(_seed_rows(self.k, self.min_len - self.k + 1, self.hot_texts), _SEED_DDL)
             if drop is not None:
                 rows = rows.join(drop, "doc", "left_anti").select(_SEED.names)
             found = self._grouped(rows, self.k)
-            matches, hot = found.where(F.col("b").isNotNull()).drop("h"), found.where(F.col("b").isNull())
+        return found.where(F.col("b").isNotNull()).drop("h"), found.where(F.col("b").isNull())
+
+    @cached_property
+    def _found(self) -> tuple[DataFrame, DataFrame | None]:
+        """(matches of seeds in few texts, all windows of min_len around the others)."""
+        matches, hot = self._seeded
+        with small_batches(self.spark):
             if hot.isEmpty():
                 return matches, None
             rows = self._places(hot).mapInArrow(_seed_rows(self.long_k, self.min_len - self.long_k + 1, self.hot_texts, self.k), _SEED_DDL)
@@ -354,13 +360,54 @@ class SharedSpans:
             F.when(first, F.col("py")).otherwise(F.col("px")).alias("pb"), F.lit(self.min_len).alias("size"), F.lit(True).alias("sure"),
         )
 
-    def _align(self, hot: bool) -> DataFrame:
-        """Rows of FOUND for all matches, or for those of seeds in few texts only."""
-        if hot in self._aligned or self._found[1] is None and (not hot) in self._aligned:
-            return self._aligned.get(hot, self._aligned.get(not hot))
+    @cached_property
+    def _frequent(self) -> DataFrame | None:
+        """Matches of seeds in many texts, for all pairs of texts with a chain that may be worth an alignment; None without such seeds.
+
+        Such a pair has a match of a rarer seed, a sure one, or LEAST_ANCHORS common occurrences of frequent seeds. Of those
+        one is left if each text's most frequent LEAST_ANCHORS - 1 are passed over, in one order for all texts."""
+        rows = self._seeded[1]
+        if rows.isEmpty():
+            return None
+        hot = rows.select(F.col("a").alias("doc"), F.col("pa").alias("pos"), "h", F.col("pb").alias("lft"), F.col("size").alias("rgt"), F.col("sure").alias("lead")).distinct()
+        in_order = Window.partitionBy("doc", "h").orderBy("pos")
+        hot = hot.withColumn("nth", F.row_number().over(in_order)).withColumn("stretch", F.sum(F.col("lead").cast("int")).over(in_order))
+        hot = cut(hot.withColumn("rest", F.max("pos").over(Window.partitionBy("doc", "h", "stretch")) - F.col("pos")))
+        held = hot.where(F.col("nth") <= LEAST_ANCHORS)  # further ones of a hash change nothing about LEAST_ANCHORS in common
+        held = held.join(F.broadcast(held.groupBy("h", "nth").agg(F.count(F.lit(1)).alias("n"))), ["h", "nth"])
+        held = held.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n"), "h", "nth"))).where(F.col("place") >= LEAST_ANCHORS)
+        halves = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lft").alias("v")), F.struct(F.lit(1).alias("side"), F.col("rgt").alias("v"))))
+        sure = hot.select("doc", "h", halves.alias("x")).where("x.v != 0").select(F.xxhash64("h", "x.side", "x.v").alias("key"), "doc")
+        pairs = self._together(held.select(F.xxhash64("h", "nth").alias("key"), "doc").unionByName(sure))
+        pairs = cut(pairs.unionByName(self._found[0].select("a", "b")).distinct())
+        x, y = (hot.select(F.col("doc").alias(d), "h", *[F.col(c).alias(f"{c}_{d}") for c in ("pos", "lft", "rgt", "lead", "rest")]) for d in "ab")
+        same = F.lit(False)
+        for c in ("lft", "rgt"):
+            same = same | (F.col(f"{c}_a") == F.col(f"{c}_b")) & (F.col(f"{c}_a") != 0)
+        met = pairs.join(x, "a").join(y, ["b", "h"]).where(F.col("lead_a") | F.col("lead_b"))
+        return met.select("a", "b", F.col("pos_a").alias("pa"), F.col("pos_b").alias("pb"), (F.least("rest_a", "rest_b") + self.k).cast("int").alias("size"), same.alias("sure"))
+
+    def _together(self, rows: DataFrame) -> DataFrame:
+        """(a, b), a < b: texts with a key in common; the texts of a key meet in pairs of blocks."""
+        rows = cut(rows.distinct())
+        rows = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int"))
+        rows = rows.withColumn("i", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        left = rows.where("i <= j").select("key", "i", "j", F.col("doc").alias("x"))
+        right = rows.where("i >= j").select("key", F.col("j").alias("i"), F.col("i").alias("j"), F.col("doc").alias("y"))
+        pairs = left.join(right, ["key", "i", "j"]).where((F.col("x") < F.col("y")) | ((F.col("i") != F.col("j")) & (F.col("x") != F.col("y"))))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def _align(self, hot: bool, fuzzy: bool = False) -> DataFrame:
+        """Rows of FOUND for all matches, or for those of seeds in few texts only; with fuzzy also for chains of seeds in many."""
         matches, windows = self._found
-        if hot and windows is not None:
+        fuzzy = fuzzy and self._frequent is not None
+        hot = (fuzzy, hot or windows is None)
+        if hot in self._aligned:
+            return self._aligned[hot]
+        if hot[1] and windows is not None:
             matches = matches.unionByName(self._first_windows(windows))
+        if fuzzy:
+            matches = matches.unionByName(self._frequent)
         flank, out = self.min_len * FLANK, None
         near = matches.distinct().repartition(parallelism(self.spark), "a", "b").sortWithinPartitions("a", "b")
         with small_batches(self.spark):
@@ -406,7 +453,7 @@ class SharedSpans:
         """(a, b, from_a, to_a, from_b, to_b, edits, identity): aligned chains of at least min_len characters and the wanted identity.
 
         identity is 1 - edits / length of the longer side. Of passages that overlap in both texts by more than half the longer one is given."""
-        rows = self._align(True).where(F.col("kind") == PASSAGE).select("a", "b", F.col("x0").alias("from_a"), F.col("x1").alias("to_a"), F.col("y0").alias("from_b"), F.col("y1").alias("to_b"), "edits").distinct()
+        rows = self._align(True, fuzzy=True).where(F.col("kind") == PASSAGE).select("a", "b", F.col("x0").alias("from_a"), F.col("x1").alias("to_a"), F.col("y0").alias("from_b"), F.col("y1").alias("to_b"), "edits").distinct()
         return rows.withColumn("identity", 1 - F.col("edits") / F.greatest(F.col("to_a") - F.col("from_a"), F.col("to_b") - F.col("from_b")))
 
     def classes(self) -> DataFrame:

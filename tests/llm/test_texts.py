@@ -132,6 +132,18 @@ def test_fuzzy_passages(spark):
     assert {tuple(p) for p in s.pairs().collect()} == brute_pairs(texts, 250)
 
 
+@pytest.mark.parametrize("rare", [0, 1])
+def test_fuzzy_passages_of_seeds_in_many_texts(spark, rare):
+    r = random.Random(16)
+    word = lambda k: "".join(r.choice("abcdefghijklmnop \n") for _ in range(k))
+    base, own = word(1500), word(400)
+    other = lambda d: "".join(chr(0x4E00 + d) if (i + 17 * d) % 130 == 0 else c for i, c in enumerate(base))
+    texts = [(d, word(80 + d) + other(d) + (own if rare and d in (3, 5) else "") + word(50)) for d in range(9)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    few, many = ({tuple(x) for x in SharedSpans(df, hot_texts=n).passages().collect()} for n in (2, 64))
+    assert many and few == many
+
+
 def test_edits_against_dynamic_programming():
     r = random.Random(15)
     for _ in range(200):
