@@ -28,6 +28,8 @@ HOT_TEXTS = 64
 BLOCK_TEXTS = 64
 #: Characters first read beside a region, in min_len; where the texts still agree at its edge, FLANK_MORE times as many.
 FLANK, FLANK_MORE = 2, 8
+#: Occurrences of frequent seeds in a text up to which texts meet by each LEAST_ANCHORS of them in order.
+FEW_SEEDS = 24
 #: Parts of the rows that want pieces of one text.
 WANT_PARTS = 64
 
@@ -364,8 +366,9 @@ class SharedSpans:
     def _frequent(self) -> DataFrame | None:
         """Matches of seeds in many texts, for all pairs of texts with a chain that may be worth an alignment; None without such seeds.
 
-        Such a pair has a match of a rarer seed, a sure one, or LEAST_ANCHORS common occurrences of frequent seeds. Of those
-        one is left if each text's most frequent LEAST_ANCHORS - 1 are passed over, in one order for all texts."""
+        Such a pair has a match of a rarer seed, a sure one, or LEAST_ANCHORS frequent seeds in the same order. Texts of at
+        most FEW_SEEDS meet by these; with a text of more, those that have one in common after each text's most frequent
+        LEAST_ANCHORS - 1, in one order for all texts, are passed over."""
         rows = self._seeded[1]
         if rows.isEmpty():
             return None
@@ -374,11 +377,19 @@ class SharedSpans:
         hot = hot.withColumn("nth", F.row_number().over(in_order)).withColumn("stretch", F.sum(F.col("lead").cast("int")).over(in_order))
         hot = cut(hot.withColumn("rest", F.max("pos").over(Window.partitionBy("doc", "h", "stretch")) - F.col("pos")))
         held = hot.where(F.col("nth") <= LEAST_ANCHORS)  # further ones of a hash change nothing about LEAST_ANCHORS in common
-        held = held.join(F.broadcast(held.groupBy("h", "nth").agg(F.count(F.lit(1)).alias("n"))), ["h", "nth"])
+        held = held.join(held.groupBy("h", "nth").agg(F.count(F.lit(1)).alias("n")), ["h", "nth"])
         held = held.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n"), "h", "nth"))).where(F.col("place") >= LEAST_ANCHORS)
         halves = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lft").alias("v")), F.struct(F.lit(1).alias("side"), F.col("rgt").alias("v"))))
         sure = hot.select("doc", "h", halves.alias("x")).where("x.v != 0").select(F.xxhash64("h", "x.side", "x.v").alias("key"), "doc")
-        pairs = self._together(held.select(F.xxhash64("h", "nth").alias("key"), "doc").unionByName(sure))
+        sizes = hot.groupBy("doc").agg(F.count(F.lit(1)).alias("seeds"))
+        few, many = sizes.where(F.col("seeds") <= FEW_SEEDS).where(F.col("seeds") >= LEAST_ANCHORS).select("doc"), sizes.where(F.col("seeds") > FEW_SEEDS).select("doc")
+        run = last = hot.join(few, "doc").select("doc", F.col("pos").alias("at"), F.array("h").alias("run"))
+        for _ in range(LEAST_ANCHORS - 1):
+            run = run.join(last.select("doc", F.col("at").alias("then"), F.col("run").alias("more")), "doc").where("at < then").select("doc", F.col("then").alias("at"), F.concat("run", "more").alias("run"))
+        pairs = self._together(run.select(F.xxhash64("run").alias("key"), "doc").unionByName(sure))
+        busy = held.join(many, "doc", "left_semi").select("h", "nth", F.col("doc").alias("y"))
+        mixed = busy.join(held.select("h", "nth", F.col("doc").alias("x")), ["h", "nth"]).where("x != y")
+        pairs = pairs.unionByName(mixed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         pairs = cut(pairs.unionByName(self._found[0].select("a", "b")).distinct())
         x, y = (hot.select(F.col("doc").alias(d), "h", *[F.col(c).alias(f"{c}_{d}") for c in ("pos", "lft", "rgt", "lead", "rest")]) for d in "ab")
         same = F.lit(False)
