@@ -1,10 +1,14 @@
+import datetime as dt
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphweave.model import Graphs
 from graphweave.operators import classifier, cluster, concepts, metrics, panoptic, retrieval, scene
+from graphweave.plans import collection, quality_queries
 from graphweave.sources import images, relations
 from graphweave.streaming import prs_stream
 
@@ -184,6 +188,54 @@ def test_nearest_comes_from_bests_of_chunks(spark, monkeypatch):
     assert got == {q: (g, d) for q, (d, g) in best.items()}
 
 
+def _deliveries(spark, n=120):
+    """Rows with what deliveries may hold: repeats, other spellings, further labels, missing ids and names, ties, edges without end."""
+    r = random.Random(11)
+    nodes = [(g, i, r.choice(["Man", "man ", "dog", "tree-top", "tree top", "sky", " ", None]), None) for g in range(0, n) for i in [*range(r.randint(1, 6)), None]]
+    nodes += r.sample(nodes, n) + [(g, i, r.choice(["cat", "sky"]), None) for g, i, _, _ in r.sample(nodes, n // 4)] + [(None, 1, "dog", None), (n, 1, None, None)]
+    at = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), None]
+    edges = [(r.choice([g, g, g, None]), r.randint(-1, 5), r.randint(0, 6), r.choice(["on", "On", "side up", "side-down", "", None]), r.choice(at)) for g in range(0, n + 2) for _ in range(r.randint(0, 12))]
+    edges += r.sample(edges, n) + [(1, None, 2, "on", None), (1, 2, None, "on", None)]
+    return spark.createDataFrame(nodes, "graph_id bigint, node_id int, label string, loaded_at timestamp"), spark.createDataFrame(edges, "graph_id bigint, s int, r int, pos string, loaded_at timestamp")
+
+
+def test_features_of_deliveries_are_those_of_the_collection(spark, tmp_path, monkeypatch):
+    for name, df in zip(("nodes", "edges"), _deliveries(spark)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    g = collection.load(spark, str(tmp_path))
+    want = {(x["graph_id"], x["item"]) for x in retrieval.features(g.triples(), g.nodes).where("graph_id IS NOT NULL").collect()}
+    for rows in (retrieval.ROWS, 40):  # one group, and many
+        monkeypatch.setattr(retrieval, "ROWS", rows)
+        got = retrieval.delivered_features(*collection.delivered(spark, str(tmp_path))).collect()
+        assert sorted(x["graph_id"] for x in got) == list(range(121))
+        pairs = [(x["graph_id"], i) for x in got for i in x["items"]]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want and any(i.startswith("e|") for _, i in pairs)
+    none = retrieval.delivered_features(*(x.limit(0) for x in collection.delivered(spark, str(tmp_path))))
+    assert none.count() == 0
+
+
+def test_retrieval_queries_join_no_tables_row_by_row(spark, tmp_path, monkeypatch):
+    def never(*_):
+        raise AssertionError("joins of all nodes and edges")
+
+    con = duckdb.connect()
+    nodes, edges = _deliveries(spark)
+    for name, df in (("nodes", nodes), ("edges", edges.where("loaded_at IS NOT NULL"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    monkeypatch.setattr(Graphs, "triples", never)
+    for name in ("retrieval_rank", "retrieval_mean_rank", "nearest_graph"):
+        got = sorted(map(tuple, quality_queries.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.sql(quality_queries.ORACLE[name]).fetchall()) and got
+
+
+def test_graph_without_id_moves_no_place(spark):
+    graphs = spark.createDataFrame([(None,), (1,), (2,), (3,)], "graph_id bigint")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "a"), (3, None)], "graph_id bigint, item string")
+    partners = spark.createDataFrame([(1, 2), (1, 3), (1, 1), (1, 9)], "query_id bigint, partner_id bigint")
+    assert sorted(map(tuple, retrieval.ranks(graphs, graphs, df, partners).collect())) == [(1, 2, 0, 0), (1, 3, 0, 1)]
+
+
 def test_relationship_graphs(spark):
     a, b, c = ([1, 2], "man"), ([3, 4], "dog"), ([1, 2], "boy")
     df = spark.createDataFrame([(1, [(a, b, "near"), (b, c, "by"), (a, b, "on")]), (2, [])], "graph_id bigint, relationships array<struct<subject:struct<bbox:array<int>,category:string>,object:struct<bbox:array<int>,category:string>,predicate:string>>")
